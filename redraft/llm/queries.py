@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import language_id, sentencepiece_bpe, url_filter
+from redraft.llm import language_id, packing, sentencepiece_bpe, token_counts, url_filter
 from redraft.llm.common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -19,17 +19,27 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; crossing tokens count where they begin."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), rule="first")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), capacity=4096, end_id=1)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op6_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op10_url_filter)}
 
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
