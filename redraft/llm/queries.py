@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import language_id, packing, sentencepiece_bpe, token_counts, url_filter
+from redraft.llm import ann, language_id, packing, sentencepiece_bpe, token_counts, topk, url_filter
 from redraft.llm.common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -14,6 +14,11 @@ PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest by cosine of every 50th vector, among all vectors."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the 32k-piece vocabulary."""
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -34,12 +39,31 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), capacity=4096, end_id=1)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest integer inner products of every 50th vector, among all vectors, exactly."""
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ann, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op9_topk, op10_url_filter)}
 
 #: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r, vec_id, score FROM scored
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+    """,
+}
