@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import ann, language_id, packing, sentencepiece_bpe, token_counts, topk, url_filter
+from redraft.llm import ann, language_id, packing, sentencepiece_bpe, simhash, token_counts, topk, url_filter
 from redraft.llm.common import table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at 4 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the 32k-piece vocabulary."""
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -49,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op9_topk, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_simhash, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op9_topk, op10_url_filter)}
 
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {
