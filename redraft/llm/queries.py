@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import ann, language_id, packing, sentencepiece_bpe, simhash, token_counts, topk, url_filter
-from redraft.llm.common import table
+from redraft.llm import ann, language_id, packing, pii, sentencepiece_bpe, simhash, token_counts, topk, url_filter
+from redraft.llm.common import Scratch, table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -44,6 +44,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), capacity=4096, end_id=1)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, all spans."""
+    found = pii.with_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "spans")
+    kept = Scratch(spark, "pii").keep(found.select("doc_id", "spans"), "candidates")
+    return pii.digest(pii.decided(kept, "spans"), "spans", "doc_id")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five largest integer inner products of every 50th vector, among all vectors, exactly."""
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
@@ -54,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_simhash, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op9_topk, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_simhash, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op8_pii, op9_topk, op10_url_filter)}
 
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {
