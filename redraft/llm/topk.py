@@ -12,12 +12,14 @@ and ``batch_rows`` queries, and equal vectors are compared once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Scratch
+from redraft.llm.common import Scratch, arrow_map
 from redraft.llm.vectors import best, classes, expand, matrix, ranked, valid
 
 #: Share of pairs in reach beyond which a dense product is cheaper than gathering the pairs; both give the same.
@@ -45,35 +47,44 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.asarray([min(max(v, -_LONG), _LONG - 1) for v in own], np.int64)
 
 
-def in_reach(x: np.ndarray, q: np.ndarray, least: np.ndarray, levels: tuple[int, ...], known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of q, row of x) whose bounds reach the query's least useful score, tested coarse to fine."""
-    rows = cols = None
+def reached(x: np.ndarray, q: np.ndarray, least: np.ndarray, levels: tuple[int, ...], known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) with their exact scores, of all that reach the query's least useful score.
+
+    Bounds are tested coarse to fine. While they leave many pairs, those stay a mask and are computed as dense products; few
+    pairs are gathered. Both ways give the same.
+    """
+    mask, rows, cols = np.ones((len(q), len(x)), bool), None, None
     for level in levels:
         a, b = known[level], statistics(q, level)
-        slack = 1e-9 * (1 + np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum(axis=1)).max())  # rounding
-        if rows is None or len(rows) > DENSE * len(q) * len(x):
-            keep = b @ a.T >= (least - slack)[:, None]
-            if rows is not None:
-                mask = np.zeros_like(keep)
-                mask[rows, cols] = True
-                keep &= mask
-            rows, cols = np.nonzero(keep)
+        slack = 1e-9 * (1 + np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum(axis=1)).max(initial=0))  # rounding
+        if rows is None:
+            mask &= b @ a.T >= (least - slack)[:, None]
+            if np.count_nonzero(mask) <= DENSE * mask.size:
+                rows, cols = np.nonzero(mask)
         else:
             left = np.einsum("ij,ij->i", b[rows], a[cols]) >= (least - slack)[rows]
             rows, cols = rows[left], cols[left]
-    return rows, cols
+    small = x.shape[1] * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**53
+    if rows is None and small:  # whole numbers below 2 ** 53: the dense product is exact
+        dense = q @ x.T
+        rows, cols = np.nonzero(mask & (dense >= least[:, None]))
+        return rows, cols, dense[rows, cols].astype(np.int64)
+    if rows is None:
+        rows, cols = np.nonzero(mask)
+    parts = [exact(x[cols[i : i + 65536]], q[rows[i : i + 65536]]) for i in range(0, len(rows), 65536)]
+    return rows, cols, np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", levels: tuple[int, ...] = (1, 4, 16), block_rows: int = 16384, batch_rows: int = 8192, seed_rows: int = 512
+    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", levels: tuple[int, ...] = (1, 4, 16), block_rows: int = 16384, batch_rows: int = 8192, seed_rows: int = 8192
 ) -> DataFrame:
     """Each query's k largest integer inner products; queries are the rows whose id is divisible by ``every``.
 
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id, score (long), ties to the smaller id. Null ids
     and vectors that are null, of another dimension or hold null or non-finite components take no part; zero vectors do. Rows
     that repeat an id and its vector count once; a query's own id is no candidate. Fewer candidates than k give
-    fewer rows, an empty table none. Scores beyond long stay at its ends. ``seed_rows``: so many of the
-    longest vectors give each query's first least score (a bound only; it prunes nothing that belongs in the result).
+    fewer rows, an empty table none. Scores beyond long stay at its ends. About ``seed_rows`` distinct
+    vectors, by hash, give each query's first least score (a bound only; it prunes nothing that belongs in the result).
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -83,16 +94,24 @@ def search(
     n = known.count()
     size = min(block_rows, max(256, -(-n // 64)))  # at least 64 blocks where there are rows for them
     blocks = max(1, -(-n // size))
-    asked = queries.groupBy("cls").agg(F.first("key").alias("key"))
-    batches = max(1, -(-asked.count() // batch_rows))
-    norm = F.aggregate(F.col("vec"), F.lit(0.0), lambda s, x: s + x * x)
-    normed = vectors.where(f"`{id_col}` is not null").select(F.col(vec_col).cast("array<double>").alias("vec")).where("vec is not null").select(norm.alias("norm"), "vec").where("norm < 1e15")
-    cut = normed.select("norm").orderBy(F.desc("norm")).limit(seed_rows).agg(F.min("norm")).first()[0]
-    seeds = [r.vec for r in normed.where(F.col("norm") >= cut).limit(2 * seed_rows).collect()] if cut is not None else []
-    dim = known.select(F.expr("length(key) div 8")).first()
-    kept = np.asarray([v for v in seeds if dim and len(v) == dim[0]], float)
-    shared = spark.sparkContext.broadcast(np.unique(np.floor(scale * kept), axis=0) if len(kept) else np.zeros((0, 0)))
+    batches = max(1, -(-queries.select("cls").distinct().count() // batch_rows))
+    share = min(1.0, seed_rows / max(n, 1))  # by hash, so the same at any partitioning; twice seed_rows never comes up by chance
+    sample = known.where(F.xxhash64("cls") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).select("key").limit(2 * seed_rows).toArrow()
+    shared = spark.sparkContext.broadcast(matrix(sample.column(0)))
+
+    def bound(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = shared.value
+        for batch in rows:
+            for a in range(0, len(batch), 512):
+                part = batch.slice(a, 512)
+                least = np.full(len(part), -np.inf)
+                if len(seeds) > k + 1:  # the (k + 2)-th best of distinct vectors: the query's own may be among them
+                    scores = matrix(part.column(1)) @ seeds.T
+                    least = np.partition(scores, len(seeds) - k - 2, axis=1)[:, len(seeds) - k - 2]
+                    least = least - 1e-9 * np.abs(least) - 1e-6
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least)], ["cls", "key", "least"])
 
+    asked = scratch.keep(arrow_map(queries.groupBy("cls").agg(F.first("key").alias("key")), bound, "cls binary, key binary, least double"), "asked")
     salt = F.xxhash64("cls")
     left = known.select("*", F.pmod(salt, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     right = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(salt, F.lit(batches)).cast("int").alias("batch"))
@@ -101,22 +120,15 @@ def search(
         empty = pa.table({"cls": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not near.num_rows or not wanted.num_rows:
             return empty
-        x, q, ids, seed = matrix(near["key"]), matrix(wanted["key"]), near["ids"].to_pylist(), shared.value
+        x, q, ids = matrix(near["key"]), matrix(wanted["key"]), near["ids"].to_pylist()
+        least, first = wanted["least"].to_numpy(), np.fromiter((i[0] for i in ids), np.int64, len(ids))
         stats = {level: statistics(x, level) for level in levels}
         owners, found, scores = [], [], []
         for a in range(0, len(q), 512):
-            part = q[a : a + 512]
-            if seed.shape[1:] == x.shape[1:] and len(seed) > k + 1:
-                # distinct vectors: the (k + 2)-th best of them, as the query's own may be among them
-                least = np.partition(part @ seed.T, len(seed) - k - 2, axis=1)[:, len(seed) - k - 2]
-                least = least - 1e-9 * np.abs(least) - 1e-6
-            else:
-                least = np.full(len(part), -np.inf)
-            owner, row = in_reach(x, part, least, levels, stats)
+            owner, row, score = reached(x, q[a : a + 512], least[a : a + 512], levels, stats)
             if not len(owner):
                 continue
-            score = exact(x[row], part[owner]) if len(row) <= 65536 else np.concatenate([exact(x[row[i : i + 65536]], part[owner[i : i + 65536]]) for i in range(0, len(row), 65536)])
-            top = best(np.fromiter((ids[r][0] for r in row), np.int64, len(row)), owner, score, k + 1)
+            top = best(first[row], owner, score, k + 1)
             every_id, place = expand(ids, row[top])
             owner, score = owner[top][place], score[top][place]
             top = best(every_id, owner, score, k + 1)
