@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,45 @@ class Memo(dict):
         if len(self) >= self.limit:
             for k in list(self)[: len(self) // 2]:
                 del self[k]
+
+
+def remembered(memo: Memo, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """The values of distinct keys; ``learn`` gives those that aren't remembered."""
+    memo.room()
+    got = list(map(memo.get, keys))
+    missing = [i for i, g in enumerate(got) if g is None]
+    if missing:
+        fresh = [keys[i] for i in missing]
+        for i, key, value in zip(missing, fresh, learn(fresh), strict=True):
+            got[i] = value
+            if len(key) <= 64:
+                memo[key] = value
+    return got
+
+
+def gathered(memo: Memo, words: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The uint32 ids of a column of words, one after another, and where each word's ids end.
+
+    Distinct words are looked up once; the column's ids are then gathered by index.
+    """
+    coded = words.dictionary_encode()
+    values = remembered(memo, coded.dictionary.to_pylist(), learn)
+    flat = np.frombuffer(b"".join(values), "<u4")
+    length = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    start = np.cumsum(length) - length
+    index = coded.indices.to_numpy()
+    each = length[index]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start[index] - (ends - each), each) + np.arange(total)], ends
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts (no nulls) have about ``most`` bytes together, one row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right"))
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end

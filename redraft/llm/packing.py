@@ -12,51 +12,71 @@ from counts per task, not from gathering a length in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Memo, Scratch, arrow_map
+from redraft.llm.common import Memo, Scratch, arrow_map, gathered, remembered, slices
 
 _LOADED: dict[str, WordIds] = {}
+#: Words of characters that lower-case and normalise one by one, and how the vocabulary's pre-tokenizer
+#: cuts them (a fixed pattern of the vocabulary file, compared with the file when it is loaded).
+_PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRETOKENS = regex.compile(PATTERN).findall
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space: words are encoded once and remembered.
 
-    Exact for tokenizers whose pre-tokens never hold a blank, tab or line end, which is checked for
+    A word that is new is put together from its pre-tokens (words differ in their punctuation far more than in their letters). Exact for tokenizers whose pre-tokens never hold a blank, tab or line end, which is checked for
     the loaded file by comparing some joined words.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo(memo)
+        self.memo, self.small = Memo(memo), Memo(memo // 2)
+        split = json.loads(self.library.to_str())["pre_tokenizer"]
+        if PATTERN not in str([p.get("pattern", {}).get("Regex") for p in split.get("pretokenizers", [])]).replace("\\\\", "\\"):
+            raise ValueError("the tokenizer cuts words by another pattern")
         probe = "It's a Test,\n\n x\t12 ÉTÉ's!?\r\nß …"
-        if self.encode_all([probe]) != [np.asarray(self.library.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()]:
+        if self.encode_all(pa.array([probe])) != [np.asarray(self.library.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()]:
             raise ValueError("the tokenizer joins words over white space")
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32 bytes."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        memo = self.memo
-        memo.room()
-        fresh = [*{w for words in split for w in words if w not in memo}]
-        extra = {}
-        if fresh:
-            for word, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                (memo if len(word) <= 64 else extra)[word] = np.asarray(found.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([memo[w] if w in memo else extra[w] for w in words]) for words in split]
-        return [b"".join([memo[w] for w in words]) for words in split]
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of a column of whole texts (no nulls) as little-endian uint32 bytes."""
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, c, " ")
+        words = pc.split_pattern(texts, " ")
+        ids, ends = gathered(self.memo, words.flatten(), self._words)
+        last = np.cumsum(pc.list_value_length(words).to_numpy())
+        bounds = np.concatenate([[0], ends[last - 1]]) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: those of plain Latin characters by their pre-tokens, others by the library."""
+        parts = [_PRETOKENS(w.lower()) if _PLAIN(w) and "<|" not in w else None for w in words]
+        known = [*{x for p in parts if p is not None for x in p}]
+        known = dict(zip(known, remembered(self.small, known, self._library), strict=True))
+        other = self._library([w for w, p in zip(words, parts, strict=True) if p is None])
+        other.reverse()
+        return [other.pop() if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def load(path: str) -> WordIds:
@@ -127,31 +147,30 @@ def pack(
     are packed like others. An empty table gives an empty result. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, task = load(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
+            for part in slices(batch, 1):
                 row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-                for i, coded in enumerate(coder.encode_all([t or "" for t in texts[a : a + 256]])):
+                for i, coded in enumerate(coder.encode_all(part.column(1))):
                     coded += end
                     for p in range(0, len(coded), 4 * capacity):
-                        part = coded[p : p + 4 * capacity]
-                        n = len(part) // 4
-                        row.append(a + i)
+                        cut_out = coded[p : p + 4 * capacity]
+                        n = len(cut_out) // 4
+                        row.append(i)
                         piece.append(p // (4 * capacity))
                         start.append(p // 4)
                         length.append(n)
-                        crc.append(zlib.crc32(part))
+                        crc.append(zlib.crc32(cut_out))
                         rank.append(seen[n])
                         seen[n] += 1
                         if keep_ids:
-                            ids.append(np.frombuffer(part, "<u4"))
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())]
+                            ids.append(np.frombuffer(cut_out, "<u4"))
+                columns = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())]
                 names = [id_col, "piece", "start", "length", "ids_crc32", "_task", "_rank"]
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
