@@ -16,41 +16,47 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Memo, arrow_map
+from redraft.llm.common import arrow_map, remembered, slices
 from redraft.llm.sentencepiece_bpe import MARK, load
 
-_LETTERS = regex.compile(r"\p{L}+")
 _NUMBER = itertools.count()
 _SCORERS: dict[str, Scorer] = {}
 #: What a character outside the vocabulary costs in any language.
 UNKNOWN = 1e-7
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased maximal runs of letters."""
-    return _LETTERS.findall(text.lower())
+def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Lower-cased maximal runs of letters of a column of texts (no nulls).
+
+    Returns each word's index among the distinct ones, those, and where each text's words end.
+    """
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), r"\PL+")
+    flat = parts.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(real).dictionary_encode()
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), before[np.cumsum(pc.list_value_length(parts).to_numpy())]
 
 
 class Scorer:
     """Log-likelihoods of words in all languages; pieces' probabilities are ``table[piece]``."""
 
-    def __init__(self, pieces: dict[str, int], table: np.ndarray, memo: int = 400_000):
+    def __init__(self, pieces: dict[str, int], table: np.ndarray, memo: int = 1_000_000):
         self.n, self.limit = table.shape[1], memo
-        self.trie: dict = {}
+        self.trie: dict = {}  # of reversed pieces: what may end at a character
         rows = table.tolist()
         for piece, i in pieces.items():
-            if len(piece) == 1 or MARK not in piece[1:]:
+            if MARK not in piece[1:]:
                 node = self.trie
-                for c in piece:
+                for c in reversed(piece):
                     node = node.setdefault(c, {})
                 node[""] = rows[i]
         self.forget()
@@ -59,54 +65,67 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, self.n))
 
-    def forward(self, word: str) -> list[float]:
-        """Log of the sum over all segmentations, for each language; scaled, so of any length."""
-        text, trie, n = MARK + word, self.trie, self.n
-        end = len(text)
-        scale = [0.0] * n
-        ahead = {0: [1.0] * n}
-        for j in range(end):
-            here = ahead.pop(j, None)
-            if here is None:
-                continue
-            if j and j % 32 == 0:  # keep numbers in range: all that is in flight is divided alike
-                for x in range(n):
-                    top = max([here[x], *(a[x] for a in ahead.values())])
-                    scale[x] += math.log(top)
-                    here[x] /= top
-                    for a in ahead.values():
-                        a[x] /= top
-            node, i = trie, j
-            while i < end and (node := node.get(text[i])) is not None:
-                i += 1
-                if (p := node.get("")) is not None:
-                    old = ahead.get(i)
-                    if old is None:
-                        ahead[i] = [a * b for a, b in zip(here, p)]
-                    else:
-                        ahead[i] = [o + a * b for o, a, b in zip(old, here, p)]
-            if j + 1 not in ahead:  # no piece starts with this character alone
-                ahead[j + 1] = [a * UNKNOWN for a in here]
-        return [s + math.log(a) for s, a in zip(scale, ahead[end])]
-
-    def score(self, found: list[str]) -> np.ndarray:
-        """Sum of the words' log-likelihoods, for each language."""
-        place, at = self.place, []
-        for w in found:
-            k = place.get(w)
-            if k is None:
-                if len(place) >= self.limit and len(at) == 0:
-                    self.forget()
-                    place = self.place
-                k = len(place)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = self.forward(w)
-                place[w] = k
-            at.append(k)
-        if len(at) <= 65536:
-            return self.rows[at].sum(axis=0)
-        return sum(self.rows[at[a : a + 65536]].sum(axis=0) for a in range(0, len(at), 65536))
+    def forward(self, texts: list[str]) -> list[list[float]]:
+        """For each marked word, in sorted order: log of the sum over all its segmentations, for each language.
+
+        ``ahead[i]`` sums over the segmentations of the first i characters, so words with a common
+        beginning share those. Long words are scaled from time to time; their scales are shared alike.
+        """
+        trie, n, out = self.trie, self.n, []
+        ahead, scales = [[1.0] * n], [[0.0] * n]
+        last = ""
+        for text in texts:
+            same = 0
+            for a, b in zip(last, text):
+                if a != b:
+                    break
+                same += 1
+            del ahead[same + 1 :], scales[same + 1 :]
+            last = text
+            for i in range(same + 1, len(text) + 1):
+                node, j, total = trie, i, None
+                while j and (node := node.get(text[j - 1])) is not None:
+                    j -= 1
+                    if (p := node.get("")) is not None:
+                        here = ahead[j]
+                        if scales[j] is not scales[i - 1]:
+                            here = [a * math.exp(s - t) for a, s, t in zip(here, scales[j], scales[i - 1])]
+                        if total is None:
+                            total = [a * b for a, b in zip(here, p)]
+                        else:
+                            total = [o + a * b for o, a, b in zip(total, here, p)]
+                if trie.get(text[i - 1]) is None or "" not in trie[text[i - 1]]:  # no piece by itself
+                    alone = [a * UNKNOWN for a in ahead[i - 1]]
+                    total = alone if total is None else [a + b for a, b in zip(total, alone)]
+                if i % 24:
+                    ahead.append(total)
+                    scales.append(scales[i - 1])
+                else:
+                    ahead.append([1.0] * n)
+                    scales.append([s + math.log(a) for s, a in zip(scales[i - 1], total)])
+            out.append([s + math.log(a) for s, a in zip(scales[-1], ahead[-1])])
+        return out
+
+    def learn(self, fresh: set[str]) -> None:
+        """Remember the words not met before; forget all others first if there are too many."""
+        if len(self.place) + len(fresh) > self.limit:
+            self.forget()
+        fresh = sorted(fresh)
+        base = len(self.place)
+        while base + len(fresh) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if fresh:
+            self.rows[base : base + len(fresh)] = self.forward([MARK + w for w in fresh])
+            self.place.update(zip(fresh, range(base, base + len(fresh))))
+
+    def table(self, found: list[str]) -> np.ndarray:
+        """The words' log-likelihoods, a row for each."""
+        place = self.place
+        fresh = {w for w in found if w not in place}
+        if len(place) + len(fresh) > self.limit:
+            fresh = set(found)
+        self.learn(fresh)
+        return self.rows[list(map(self.place.__getitem__, found))] if found else np.zeros((0, self.n))
 
 
 def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5):
@@ -119,31 +138,28 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         size = model.library.get_piece_size()
-        found: dict[str, Counter] = defaultdict(Counter)
-        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size, np.int64))
-
-        def settle() -> None:
-            for lang, counter in found.items():
-                for word, n in counter.items():
-                    chunk = MARK + word
-                    ids = np.frombuffer(model.memo.get(chunk) or model.chunk(chunk), "<u4")
-                    np.add.at(total[lang], ids, n) if len(ids) > 8 else [total[lang].__setitem__(i, total[lang][i] + n) for i in ids]
-            found.clear()
+        total: dict[str, np.ndarray] = {}
 
         def give() -> Iterator[pa.RecordBatch]:
-            settle()
             for lang, counts in total.items():
                 ids = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids), pa.array(counts[ids])], ["lang", "piece", "n"])
             total.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[lang].update(words(text))
-                if sum(map(len, found.values())) > 300_000:
-                    settle()
-            if len(total) > 64:
-                yield from give()
+            for part in slices(batch, 1):
+                index, distinct, ends = words(part.column(1))
+                pieces = remembered(model.memo, distinct, model.learn)
+                length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+                flat = np.frombuffer(b"".join(pieces), "<u4")
+                langs = part.column(0).dictionary_encode()
+                whose = np.repeat(langs.indices.to_numpy(), np.diff(np.concatenate([[0], ends])))
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    seen = np.bincount(index[whose == k], minlength=len(distinct))
+                    got = np.bincount(flat, np.repeat(seen, length), size).astype(np.int64)
+                    total[lang] = total[lang] + got if lang in total else got
+                if len(total) > 64:
+                    yield from give()
         yield from give()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
@@ -162,7 +178,7 @@ def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.nd
     the language first in order. Columns of these two names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast(table)
     key = f"{next(_NUMBER)}:{shared.id if hasattr(shared, 'id') else 0}:{hash(table.tobytes())}"
@@ -173,18 +189,18 @@ def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.nd
             _SCORERS[key] = Scorer(load(model_path).ids, shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(0).to_pylist():
-                found = words(text) if text and languages else []
-                if not found:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total = scorer.score(found)
-                best = int(np.argmax(total))
-                langs.append(languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            for part in slices(batch, 0, 8 << 20):
+                langs, scores = ["und"] * len(part), [0.0] * len(part)
+                index, distinct, ends = words(part.column(0))
+                starts = np.concatenate([[0], ends[:-1]])
+                some = np.flatnonzero(ends > starts) if languages else np.zeros(0, int)
+                if len(some):
+                    totals = np.add.reduceat(scorer.table(distinct)[index], starts[some], axis=0)
+                    best = totals.argmax(axis=1)
+                    sure = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+                    for i, b, p in zip(some.tolist(), best.tolist(), sure.tolist()):
+                        langs[i], scores[i] = languages[b], p
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return arrow_map(rows, run, schema)
 
