@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redraft.llm import ann, language_id, packing, pii, sentencepiece_bpe, simhash, token_counts, topk, url_filter
+from redraft.llm import ann, language_id, line_dedup, packing, pii, sentencepiece_bpe, simhash, token_counts, topk, url_filter
 from redraft.llm.common import Scratch, table
 
 PIECES, WORDS, BYTES = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -29,6 +29,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document: whether it is kept, and the first line of its component."""
+    return line_dedup.duplicates(table(spark, sf_dir, "documents"), size=9, bands=8, rows=3, least=0.8)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; crossing tokens count where they begin."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), rule="first")
@@ -61,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_simhash, op3_sentencepiece, op5_token_counts, op6_language_id, op7_best_fit_packing, op8_pii, op9_topk, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_simhash, op3_sentencepiece, op4_line_dedup, op5_token_counts, op6_language_id, op7_best_fit_packing, op8_pii, op9_topk, op10_url_filter)}
 
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {
