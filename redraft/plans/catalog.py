@@ -1,7 +1,440 @@
-"""All registered queries of the revision engine and their DuckDB oracles."""
+"""All registered queries of the revision engine and their DuckDB oracles.
+
+Every query runs over whole tables: the old revision is ``documents``, the new one its deterministic mutation.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from redraft.functions import text as tx
+from redraft.operators import anchors, candidates, diff, keyed, layout, ordered, scoring
+from redraft.options import DEFAULT
+from redraft.sources.revisions import MUTATIONS, mutate, read, revisions
+
 FLAGSHIP = "changed_documents"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+#: The revisions in SQL: tables d, rev, old_raw and new_raw (pair_id, block, raw), old_b and new_b (with the canonical text).
+BLANK_CLASS = "[ \\t\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+"
+_CANONICAL = f"regexp_replace(replace(replace(replace(replace(replace(replace(replace(raw, 'ﬀ','ff'),'ﬁ','fi'),'ﬂ','fl'),'ﬃ','ffi'),'ﬄ','ffl'),'ﬅ','st'),'ﬆ','st'), '{BLANK_CLASS}', ' ', 'g')"
+BASE = f"""
+WITH d AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS p, [{", ".join(repr(m) for m in MUTATIONS)}][1 + doc_id % {len(MUTATIONS)}] AS mutation FROM documents
+), rev AS (
+    SELECT doc_id, text, mutation, p, CASE
+        WHEN mutation = 'delete' AND len(p) > 1 THEN array_to_string(p[2:], chr(10))
+        WHEN mutation = 'insert' THEN p[1] || chr(10) || 'Inserted paragraph ' || doc_id || '.' || substr(text, length(p[1]) + 1)
+        WHEN mutation = 'number' THEN regexp_replace(text, '^([^0-9]*)[0-9]+', '\\1777')
+        WHEN mutation = 'move' AND len(p) > 2 THEN array_to_string(p[2:], chr(10)) || chr(10) || p[1]
+        WHEN mutation = 'replace' THEN '#' || substr(text, 2)
+        ELSE text END AS revised FROM d
+), old_raw AS (
+    SELECT doc_id AS pair_id, CAST(unnest(range(len(p))) AS INTEGER) AS block, unnest(p) AS raw FROM rev
+), new_raw AS (
+    SELECT pair_id, CAST(unnest(range(len(p))) AS INTEGER) AS block, unnest(p) AS raw FROM (SELECT doc_id AS pair_id, string_split(revised, chr(10)) AS p FROM rev)
+), old_b AS (SELECT *, {_CANONICAL} AS text FROM old_raw), new_b AS (SELECT *, {_CANONICAL} AS text FROM new_raw)
+"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = revisions(spark, sf_dir)
+    return old.withColumn("text", tx.canonical(F.col("raw"))), new.withColumn("text", tx.canonical(F.col("raw")))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, replaced, inserted, deleted, outcome): equal blocks cancel, the rest is paired as far as both sides have any."""
+    sides = []
+    for side, name in zip(_blocks(spark, sf_dir), ("a", "b"), strict=True):
+        sides.append(side.groupBy("pair_id", F.xxhash64("text").alias("_h"), "text").agg(F.count("*").alias(name)))
+    both = sides[0].join(sides[1], ["pair_id", "_h", "text"], "full_outer").select("pair_id", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    sums = both.groupBy("pair_id").agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("gone"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("came"))
+    replaced = F.least("gone", "came")
+    out = sums.select("pair_id", replaced.alias("replaced"), (F.col("came") - replaced).alias("inserted"), (F.col("gone") - replaced).alias("deleted"))
+    return out.withColumn("outcome", scoring.outcome(F.col("replaced") + F.col("inserted") + F.col("deleted"), F.lit(0)))
+
+
+_CHANGES = f"""{BASE}, a AS (SELECT pair_id, text, count(*) AS a FROM old_b GROUP BY ALL), b AS (SELECT pair_id, text, count(*) AS b FROM new_b GROUP BY ALL),
+s AS (SELECT pair_id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0)) AS gone, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0)) AS came FROM a FULL JOIN b USING (pair_id, text) GROUP BY pair_id),
+changes AS (SELECT pair_id, CAST(least(gone, came) AS BIGINT) AS replaced, CAST(came - least(gone, came) AS BIGINT) AS inserted, CAST(gone - least(gone, came) AS BIGINT) AS deleted,
+    CASE WHEN gone + came > 0 THEN 'Detected' ELSE 'NoContentChange' END AS outcome FROM s)"""
+
+
+@query(_CHANGES + " SELECT * FROM changes")
+def changed_documents(spark, sf_dir):
+    """Which documents changed between the revisions, and by how many replacements, insertions and deletions."""
+    return _changes(spark, sf_dir)
+
+
+@query(_CHANGES + """ SELECT count(*) AS documents, count(*) FILTER (outcome = 'Detected') AS detected, CAST(sum(replaced) AS BIGINT) AS replaced, CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(deleted) AS BIGINT) AS deleted,
+    CASE WHEN count(*) FILTER (outcome = 'Detected') > 0 THEN 1 ELSE 0 END AS exit_status FROM changes""")
+def summary(spark, sf_dir):
+    """One row of totals and the exit status."""
+    total = _changes(spark, sf_dir).agg(F.count("*").alias("documents"), F.count_if(F.col("outcome") == "Detected").alias("detected"), F.sum("replaced").alias("replaced"), F.sum("inserted").alias("inserted"), F.sum("deleted").alias("deleted"))
+    return total.withColumn("exit_status", scoring.exit_status(F.lit(False), F.lit(False), F.col("detected") > 0))
+
+
+@query(BASE + " SELECT pair_id, block, raw FROM new_raw")
+def revised_blocks(spark, sf_dir):
+    """Blocks of the new revision."""
+    return revisions(spark, sf_dir)[1]
+
+
+@query(BASE + """ SELECT doc_id AS pair_id, mutation, CASE WHEN mutation IN ('none', 'wrap') OR revised = text THEN 0 ELSE 1 END AS expected,
+    CASE WHEN mutation = 'move' THEN 'candidate' WHEN mutation IN ('none', 'wrap') THEN 'none' ELSE 'exact' END AS evidence FROM rev""")
+def expected_manifest(spark, sf_dir):
+    """What each document's mutation should show."""
+    docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    still = F.col("mutation").isin("none", "wrap")
+    return docs.select(F.col("doc_id").alias("pair_id"), "mutation", F.when(still | (F.col("revised") == F.col("text")), 0).otherwise(1).alias("expected"), F.when(F.col("mutation") == "move", "candidate").when(still, "none").otherwise("exact").alias("evidence"))
+
+
+@query(BASE + r""", m AS (SELECT pair_id, block, text AS canonical, regexp_replace(text, '\p{N}+(?:[.,]\p{N}+)*', '<NUM>', 'g') AS masked FROM old_b)
+SELECT pair_id, block, canonical, CASE WHEN length(masked) - length(replace(masked, '<NUM>', '')) <= 0.3 * length(masked) THEN masked ELSE canonical END AS matching,
+    length(canonical) BETWEEN 2 AND 32 AND regexp_matches(canonical, '[\p{L}\p{N}]') AND regexp_matches(canonical, '[:：]$') AS label FROM m""")
+def normalized_blocks(spark, sf_dir):
+    """Canonical and matching text of every block, and whether it is a structural label."""
+    old, _ = _blocks(spark, sf_dir)
+    return old.select("pair_id", "block", F.col("text").alias("canonical"), tx.matching(F.col("text"), DEFAULT.mask_share).alias("matching"), tx.is_label(F.col("text"), *DEFAULT.label_tokens).alias("label"))
+
+
+_W, _C = r"[\p{Latin}0-9]", r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
+
+
+@query(BASE + rf""", n AS (SELECT pair_id, raw AS a, lead(raw) OVER (PARTITION BY pair_id ORDER BY block) AS b FROM old_raw), c AS (
+SELECT CASE WHEN regexp_matches(a, '\x{{ad}}$') AND length(b) > 0 THEN 1
+    WHEN regexp_matches(a, '(?:{_W}|{_C})[-\x{{2010}}]$') AND regexp_matches(b, '^(?:{_W}|{_C})') THEN 2
+    WHEN regexp_matches(a, '[0-9]$') AND regexp_matches(b, '^[0-9]') THEN 3
+    WHEN regexp_matches(a, '\s$') OR regexp_matches(b, '^\s') OR (regexp_matches(a, '{_C}$') AND regexp_matches(b, '^(?:{_C}|{_W})')) OR (regexp_matches(a, '{_W}$') AND regexp_matches(b, '^{_C}')) THEN 4
+    WHEN regexp_matches(a, '(?:{_W}|“\w+”)$') AND regexp_matches(b, '^{_W}') THEN 5 ELSE 6 END AS break_case FROM n WHERE b IS NOT NULL)
+SELECT break_case, count(*) AS n FROM c GROUP BY break_case""")
+def line_breaks(spark, sf_dir):
+    """How breaks between neighbouring lines would be settled."""
+    old, _ = revisions(spark, sf_dir)
+    after = old.withColumn("after", F.lead("raw").over(Window.partitionBy("pair_id").orderBy("block"))).where("after is not null")
+    return after.groupBy(tx.break_case(F.col("raw"), F.col("after")).alias("break_case")).agg(F.count("*").alias("n"))
+
+
+def _grams(table: str) -> str:
+    return f"""SELECT pair_id, block, unnest(CASE WHEN length(text) = 0 THEN [] WHEN length(text) <= 3 THEN list_concat([text], CASE WHEN length(text) > 1 THEN list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)) ELSE [] END)
+    ELSE list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) END) AS g FROM {table}"""
+
+
+_GRAMS = f"""{BASE}, go AS ({_grams('old_b')}), gn AS ({_grams('new_b')}), co AS (SELECT pair_id, block AS old, g, count(*) AS a FROM go GROUP BY ALL), cn AS (SELECT pair_id, block AS new, g, count(*) AS b FROM gn GROUP BY ALL),
+ta AS (SELECT pair_id, old, CAST(sum(a) AS BIGINT) AS ta, count(*) AS ga FROM co GROUP BY ALL), tb AS (SELECT pair_id, new, CAST(sum(b) AS BIGINT) AS tb FROM cn GROUP BY ALL)"""
+
+
+@query(_GRAMS + " SELECT o.pair_id, o.block, length(o.text) AS tokens, CAST(coalesce(ga, 0) AS INTEGER) AS grams, CAST(coalesce(ta, 0) AS INTEGER) AS total FROM old_b o LEFT JOIN ta ON o.pair_id = ta.pair_id AND o.block = ta.old")
+def block_features(spark, sf_dir):
+    """Tokens and n-grams of every block."""
+    return candidates.features(_blocks(spark, sf_dir)[0], DEFAULT.ngram).select("pair_id", "block", F.col("tokens").cast("long").alias("tokens"), "grams", "total")
+
+
+@query(_GRAMS + """ SELECT pair_id, old, new, CAST(sum(least(a, b)) AS BIGINT) AS shared, round(2.0 * sum(least(a, b)) / (any_value(ta) + any_value(tb)), 9) AS score
+FROM co JOIN cn USING (pair_id, g) JOIN ta USING (pair_id, old) JOIN tb USING (pair_id, new) GROUP BY pair_id, old, new""")
+def dice_pairs(spark, sf_dir):
+    """Multiset Dice of all block pairs of a document that share an n-gram."""
+    return candidates.dice_pairs(*_blocks(spark, sf_dir), DEFAULT.ngram).withColumn("score", F.round("score", 9))
+
+
+@query(_GRAMS + """, df AS (SELECT pair_id, g, count(*) AS df FROM cn GROUP BY ALL), nb AS (SELECT pair_id, count(*) AS blocks FROM new_b GROUP BY ALL)
+SELECT pair_id, count(*) AS grams, CAST(sum(df) AS BIGINT) AS postings, round(sum(ln((blocks + 1) / (df + 1)) + 1), 6) AS weight FROM df JOIN nb USING (pair_id) GROUP BY pair_id""")
+def gram_weights(spark, sf_dir):
+    """Each document's n-grams, postings and total inverse frequency."""
+    w = candidates.weights(_blocks(spark, sf_dir)[1], DEFAULT.ngram)
+    return w.groupBy("pair_id").agg(F.count("*").alias("grams"), F.sum("df").alias("postings"), F.round(F.sum("idf"), 6).alias("weight"))
+
+
+@query(BASE + " SELECT o.pair_id, o.block AS old, n.block AS new FROM old_b o JOIN new_b n USING (pair_id, text)")
+def exact_pairs(spark, sf_dir):
+    """Block pairs of equal text."""
+    return candidates.exact(*_blocks(spark, sf_dir))
+
+
+@query(_GRAMS + """, df AS (SELECT pair_id, g, count(*) AS df FROM cn GROUP BY ALL), nb AS (SELECT pair_id, count(*) AS blocks FROM new_b GROUP BY ALL),
+w AS (SELECT pair_id, g, ln((blocks + 1) / (df + 1)) + 1 AS idf FROM df JOIN nb USING (pair_id)),
+wo AS (SELECT pair_id, old, sum(a * coalesce(idf, 1)) AS wo FROM co LEFT JOIN w USING (pair_id, g) GROUP BY ALL), wn AS (SELECT pair_id, new, sum(b * idf) AS wn FROM cn JOIN w USING (pair_id, g) GROUP BY ALL),
+s AS (SELECT pair_id, old, new, sum(least(a, b) * idf) AS s FROM co JOIN cn USING (pair_id, g) JOIN w USING (pair_id, g) GROUP BY ALL),
+r AS (SELECT s.pair_id, s.old, s.new, round(least(2 * s / (wo + wn), 1.0), 9) AS score, round(least(s / least(wo, wn), 1.0), 9) AS containment, CASE WHEN o.text = n.text THEN 1 ELSE 0 END AS same
+    FROM s JOIN wo USING (pair_id, old) JOIN wn USING (pair_id, new) JOIN old_b o ON o.pair_id = s.pair_id AND o.block = s.old JOIN new_b n ON n.pair_id = s.pair_id AND n.block = s.new)
+SELECT pair_id, old, new, score, containment, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, old ORDER BY same DESC, score DESC, new) AS k FROM r) WHERE k <= 32""")
+def inverted_index(spark, sf_dir):
+    """The 32 best counterparts of every block by weighted n-gram overlap."""
+    return candidates.inverted_index(*_blocks(spark, sf_dir), DEFAULT.ngram, DEFAULT.candidates)
+
+
+@query(BASE + """ SELECT pair_id, old, new, CAST(k AS INTEGER) AS rank FROM (SELECT o.pair_id, o.block AS old, n.block AS new, row_number() OVER (PARTITION BY o.pair_id, o.block ORDER BY abs(o.block - n.block), n.block) AS k
+FROM old_b o JOIN new_b n USING (pair_id) WHERE length(o.text) <= 60 AND length(n.text) <= 60) WHERE k <= 32""")
+def short_blocks(spark, sf_dir):
+    """Short blocks' nearest short counterparts by place."""
+    return candidates.short_blocks(*_blocks(spark, sf_dir), 60, DEFAULT.candidates)
+
+
+@query()
+def lsh_pairs(spark, sf_dir):
+    """Block pairs that share a MinHash band."""
+    return candidates.lsh(*_blocks(spark, sf_dir), DEFAULT.ngram, DEFAULT.bands, DEFAULT.band_rows)
+
+
+@query()
+def candidate_recall(spark, sf_dir):
+    """True counterparts among the first candidates, for 1, 8 and 32."""
+    old, new = _blocks(spark, sf_dir)
+    ranked, truth = candidates.inverted_index(old, new, DEFAULT.ngram, DEFAULT.candidates), anchors.unique_pairs(old, new, 1)
+    rows = [candidates.recall_at(ranked, truth, k).withColumn("k", F.lit(k)) for k in (1, 8, 32)]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query(BASE + r""", o AS (SELECT pair_id, text, min(block) AS old FROM old_b WHERE length(text) >= 1 GROUP BY ALL HAVING count(*) = 1), n AS (SELECT pair_id, text, min(block) AS new FROM new_b WHERE length(text) >= 1 GROUP BY ALL HAVING count(*) = 1),
+j AS (SELECT pair_id, old, new, text, length(text) BETWEEN 2 AND 32 AND regexp_matches(text, '[\p{L}\p{N}]') AND regexp_matches(text, '[:：]$') AS label FROM o JOIN n USING (pair_id, text))
+SELECT pair_id, old, new, label FROM j WHERE length(text) >= 16 OR label""")
+def primary_anchors(spark, sf_dir):
+    """Blocks that stand once on each side, long ones and labels."""
+    return anchors.primary(*_blocks(spark, sf_dir), DEFAULT.anchor_tokens, DEFAULT.label_tokens)
+
+
+def _windowed(spark, sf_dir):
+    old, new = _blocks(spark, sf_dir)
+    chained = anchors.chain(anchors.primary(old, new, DEFAULT.anchor_tokens, DEFAULT.label_tokens))
+    return anchors.windows(old, chained, "old"), anchors.windows(new, chained, "new"), chained
+
+
+@query()
+def anchor_chain(spark, sf_dir):
+    """Anchors in the longest monotone chain, and those moved against it."""
+    return _windowed(spark, sf_dir)[2]
+
+
+@query()
+def window_mismatch(spark, sf_dir):
+    """Windows between anchors whose token multisets differ: changes proven without a place."""
+    old, new, _ = _windowed(spark, sf_dir)
+    return diff.multiset_mismatch(old.where("not anchor"), new.where("not anchor"), ("pair_id", "window"))
+
+
+@query()
+def ordered_alignment(spark, sf_dir):
+    """Matches, insertions, deletions and unresolved blocks of every window."""
+    old, new, _ = _windowed(spark, sf_dir)
+    return ordered.align(old, new)
+
+
+def _matched(spark, sf_dir):
+    old, new, _ = _windowed(spark, sf_dir)
+    return ordered.changed(ordered.align(old, new), old, new)
+
+
+@query()
+def token_diff(spark, sf_dir):
+    """Hunks of all matched blocks that differ."""
+    return diff.diff(_matched(spark, sf_dir), DEFAULT.distance)
+
+
+@query()
+def literal_claims(spark, sf_dir):
+    """What every optimal alignment of the changed blocks agrees on."""
+    return diff.literal_claims(_matched(spark, sf_dir))
+
+
+_PREFIX = "coalesce(list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1)), false) - 1, least(length({a}), length({b})))"
+
+
+@query(BASE + f""", c AS (SELECT o.pair_id, o.block, o.text AS a, n.text AS b FROM old_b o JOIN new_b n USING (pair_id, block) WHERE o.text <> n.text AND abs(length(o.text) - length(n.text)) <= 1),
+h AS (SELECT *, {_PREFIX.format(a='a', b='b')} AS p FROM c), t AS (SELECT *, reverse(substr(a, p + 1)) AS ra, reverse(substr(b, p + 1)) AS rb FROM h), s AS (SELECT *, {_PREFIX.format(a='ra', b='rb')} AS q FROM t)
+SELECT pair_id, block, CAST(p AS INTEGER) AS "at", left(substr(a, p + 1), length(ra) - q) AS old_token, left(substr(b, p + 1), length(rb) - q) AS new_token FROM s WHERE length(ra) - q <= 1 AND length(rb) - q <= 1""")
+def single_token_edits(spark, sf_dir):
+    """Blocks of equal number that differ by one token alone."""
+    old, new = _blocks(spark, sf_dir)
+    pairs = old.select("pair_id", "block", F.col("text").alias("old_text")).join(new.select("pair_id", "block", F.col("text").alias("new_text")), ["pair_id", "block"]).where("old_text <> new_text and abs(length(old_text) - length(new_text)) <= 1")
+    return diff.single_edit(pairs, ("pair_id", "block"))
+
+
+def _chars(table: str, name: str) -> str:
+    return f"SELECT pair_id, token, count(*) AS {name} FROM (SELECT pair_id, unnest(string_split(text, '')) AS token FROM {table} WHERE length(text) > 0) GROUP BY ALL"
+
+
+@query(BASE + f""", a AS ({_chars('old_b', 'a')}), b AS ({_chars('new_b', 'b')})
+SELECT pair_id, CAST(sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0)) AS BIGINT) AS removed, CAST(sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0)) AS BIGINT) AS added
+FROM a FULL JOIN b USING (pair_id, token) WHERE coalesce(a, 0) <> coalesce(b, 0) GROUP BY pair_id""")
+def multiset_mismatch(spark, sf_dir):
+    """Documents whose token multisets differ."""
+    return diff.multiset_mismatch(*_blocks(spark, sf_dir))
+
+
+@query(BASE + """, o AS (SELECT doc_id AS slot, sha256(text) AS v, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM rev), n AS (SELECT doc_id AS slot, sha256(revised) AS v, row_number() OVER (PARTITION BY sha256(revised) ORDER BY doc_id) AS k FROM rev),
+l AS (SELECT slot, v AS old_value FROM o ANTI JOIN n USING (v, k)), r AS (SELECT slot, v AS new_value FROM n ANTI JOIN o USING (v, k))
+SELECT slot, old_value, new_value, CASE WHEN old_value IS NULL THEN 'Added' WHEN new_value IS NULL THEN 'Removed' ELSE 'Changed' END AS status FROM l FULL JOIN r USING (slot)""")
+def payload_multiset(spark, sf_dir):
+    """Opaque payloads of both revisions after equal ones cancel."""
+    docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    side = {c: docs.select(F.col("doc_id").alias("slot"), F.sha2(c, 256).alias("value")) for c in ("text", "revised")}
+    return keyed.multiset_cancel(side["text"], side["revised"], "value", "slot")
+
+
+@query("""WITH o AS (SELECT c_name AS k FROM customer), n AS (SELECT c_name || CASE WHEN c_custkey % 50 = 0 THEN '*' ELSE '' END AS k FROM customer WHERE c_custkey % 5 <> 1)
+SELECT coalesce(o.k, n.k) AS c_name, CASE WHEN o.k IS NOT NULL AND n.k IS NOT NULL THEN 'Matched' ELSE 'PresentOnly' END AS status FROM o FULL JOIN n ON o.k = n.k""")
+def key_presence(spark, sf_dir):
+    """Named customers present in one or both revisions; some are gone, some renamed."""
+    old = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    new = old.where("c_custkey % 5 <> 1").withColumn("c_name", F.concat("c_name", F.when(F.col("c_custkey") % 50 == 0, "*").otherwise("")))
+    return keyed.key_presence(old, new, "c_name")
+
+
+@query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders), c AS (
+SELECT o.o_orderkey, unnest(['o_orderstatus', 'o_orderpriority']) AS field, unnest([o.o_orderstatus <> n.s, o.o_orderpriority <> n.p]) AS changed FROM orders o JOIN n USING (o_orderkey))
+SELECT field, count(*) AS compared, count(*) FILTER (changed) AS changed, count(*) FILTER (changed IS NULL) AS unresolved FROM c GROUP BY field""")
+def field_changes(spark, sf_dir):
+    """Values of orders' fields: compared, changed, unresolved."""
+    old = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = old.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "X").when(F.col("o_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")))
+    found = keyed.field_changes(old, new, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    return found.groupBy("field").agg(F.count("*").alias("compared"), F.count_if("changed").alias("changed"), F.count_if(F.col("changed").isNull()).alias("unresolved"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders), n AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN o_custkey + 1 ELSE o_custkey END AS src, 1000000 + o_orderkey AS dst FROM orders),
+k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 1000000 + o_orderkey FROM orders), a AS (SELECT DISTINCT * FROM o SEMI JOIN k ON src = k.k), b AS (SELECT DISTINCT * FROM n SEMI JOIN k ON src = k.k),
+j AS (SELECT a.src AS x, b.src AS y FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst)
+SELECT CASE WHEN y IS NULL THEN 'Removed' WHEN x IS NULL THEN 'Added' ELSE 'Kept' END AS status, count(*) AS n FROM j GROUP BY ALL""")
+def relations(spark, sf_dir):
+    """Edges between customers and orders, by their presence in both revisions."""
+    orders, customers = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "customer")
+    dst = F.col("o_orderkey") + 1000000
+    old = orders.select(F.col("o_custkey").alias("src"), dst.alias("dst"))
+    new = orders.select(F.when(F.col("o_orderkey") % 17 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("src"), dst.alias("dst"))
+    nodes = customers.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("old")).union(orders.select(dst))
+    return keyed.relations(old, new, nodes.withColumn("new", F.col("old"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL HAVING count(*) = 1")
+def table_cells(spark, sf_dir):
+    """Cells that a row and a column key identify."""
+    return keyed.cells(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(BASE + """, x AS (SELECT pair_id, block, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY pair_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM old_b),
+i AS (SELECT pair_id, s, s + CASE WHEN block % 3 = 0 THEN n + 20 WHEN block % 3 = 1 THEN n // 2 ELSE 0 END AS e FROM x), r AS (SELECT *, max(e) OVER (PARTITION BY pair_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i WHERE e > s),
+c AS (SELECT pair_id, CAST(sum(greatest(e - greatest(s, coalesce(reach, s)), 0)) AS BIGINT) AS resolved FROM r GROUP BY ALL), t AS (SELECT pair_id, CAST(sum(n + 1) + 20 AS BIGINT) AS total FROM x GROUP BY ALL)
+SELECT pair_id, total, coalesce(resolved, 0) AS resolved, round(coalesce(resolved, 0) / total, 9) AS ratio FROM t LEFT JOIN c USING (pair_id)""")
+def token_coverage(spark, sf_dir):
+    """Tokens that overlapping spans resolve together, of each document's."""
+    old, _ = _blocks(spark, sf_dir)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = old.select("pair_id", "block", F.length("text").alias("n"), start.alias("start"))
+    totals = spans.groupBy("pair_id").agg((F.sum(F.col("n") + 1) + 20).alias("total"))
+    size = F.when(F.col("block") % 3 == 0, F.col("n") + 20).when(F.col("block") % 3 == 1, F.floor(F.col("n") / 2)).otherwise(0)
+    return scoring.coverage(spans.withColumn("end", F.col("start") + size), totals, ["pair_id"]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(BASE + """, ch AS (SELECT pair_id, block, CAST(unnest(range(length(raw))) AS INTEGER) AS col, unnest(string_split(raw, '')) AS c FROM old_raw WHERE length(raw) > 0), g AS (SELECT * FROM ch WHERE c <> ' ' AND c <> '' AND col % 97 <> 96 AND 72.0 + 6.0 * col + 6.0 <= 5472.0),
+l AS (SELECT *, col - lag(col) OVER (PARTITION BY pair_id, block ORDER BY col) AS step FROM g)
+SELECT pair_id, CAST(block // 40 AS INTEGER) AS page, CAST(block % 40 AS INTEGER) AS line, string_agg(CASE WHEN step > 1 THEN ' ' ELSE '' END || c, '' ORDER BY col) AS text, 72.0 + 6.0 * min(col) AS x0, 78.0 + 6.0 * max(col) AS x1, 720.0 - 12.0 * (block % 40) AS y FROM l GROUP BY pair_id, block""")
+def glyph_lines(spark, sf_dir):
+    """Lines rebuilt from the visible glyphs of rendered pages."""
+    return layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, 5472.0))
+
+
+@query()
+def glyph_blocks(spark, sf_dir):
+    """Blocks of rebuilt lines, with the lines each has."""
+    found = layout.blocks(layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, 5472.0)))
+    return found.groupBy("pair_id", "page", "block").agg(F.count("*").alias("lines"), F.min("line").alias("first"))
+
+
+@query()
+def repeated_edges(spark, sf_dir):
+    """Headers and footers that repeat over a document's pages."""
+    return layout.repeated_edges(layout.lines(layout.render(revisions(spark, sf_dir)[0], 4)))
+
+
+@query(_CHANGES + """, e AS (SELECT doc_id AS pair_id, mutation FROM rev WHERE mutation NOT IN ('none', 'wrap') AND revised <> text), x AS (SELECT pair_id FROM changes WHERE outcome = 'Detected')
+SELECT count(*) FILTER (x.pair_id IS NOT NULL AND e.pair_id IS NOT NULL) AS tp, count(*) FILTER (e.pair_id IS NULL) AS fp, count(*) FILTER (x.pair_id IS NULL) AS fn,
+    round(count(*) FILTER (x.pair_id IS NOT NULL AND e.pair_id IS NOT NULL) / (count(*) FILTER (x.pair_id IS NOT NULL)), 9) AS precision, round(count(*) FILTER (x.pair_id IS NOT NULL AND e.pair_id IS NOT NULL) / (count(*) FILTER (e.pair_id IS NOT NULL)), 9) AS recall,
+    round(2 * count(*) FILTER (x.pair_id IS NOT NULL AND e.pair_id IS NOT NULL) / (count(*) FILTER (x.pair_id IS NOT NULL) + count(*) FILTER (e.pair_id IS NOT NULL)), 9) AS f1 FROM x FULL JOIN e ON x.pair_id = e.pair_id""")
+def event_metrics(spark, sf_dir):
+    """Precision and recall of detected documents against the expected ones."""
+    found = _changes(spark, sf_dir).where("outcome = 'Detected'").select("pair_id")
+    wanted = expected_manifest(spark, sf_dir).where("expected = 1").select("pair_id")
+    out = scoring.precision_recall(found, wanted, ["pair_id"])
+    return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE n_chars IS NOT NULL)
+SELECT lang, count(*) AS n, min(n_chars) AS least, max(n_chars) FILTER (k = CAST(ceil(n * 50 / 100.0) AS BIGINT)) AS p50, max(n_chars) FILTER (k = CAST(ceil(n * 95 / 100.0) AS BIGINT)) AS p95, max(n_chars) AS most FROM r GROUP BY lang""")
+def length_distribution(spark, sf_dir):
+    """Nearest-rank percentiles of document lengths by language."""
+    return scoring.nearest_rank(read(spark, sf_dir, "documents").select("lang", "n_chars"), ["lang"], "n_chars")
+
+
+@query("SELECT event_type, count(*) AS trials, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def operational_totals(spark, sf_dir):
+    """Counts of trials by status."""
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("trials"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+_CASES = f"""{BASE}, a AS (SELECT pair_id, text, count(*) AS a FROM old_b GROUP BY ALL), b AS (SELECT pair_id, text, count(*) AS b FROM new_b GROUP BY ALL),
+cases AS (SELECT sha256(CAST(pair_id AS VARCHAR) || '|' || text) AS case_id, pair_id, coalesce(a, 0) AS olds, coalesce(b, 0) AS news, left(text, 160) AS preview FROM a FULL JOIN b USING (pair_id, text) WHERE coalesce(a, 0) <> coalesce(b, 0) OR coalesce(a, 0) > 1),
+classed AS (SELECT *, CASE WHEN olds = 0 THEN '0:new' WHEN news = 0 THEN 'old:0' WHEN olds = 1 AND news = 1 THEN '1:1' WHEN olds = 1 THEN '1:N' WHEN news = 1 THEN 'N:1' ELSE 'N:M' END AS class FROM cases)"""
+
+
+def _cases(spark, sf_dir):
+    old, new = _blocks(spark, sf_dir)
+    a, b = (s.groupBy("pair_id", "text").agg(F.count("*").alias(n)) for s, n in ((old, "olds"), (new, "news")))
+    both = a.join(b, ["pair_id", "text"], "full_outer").na.fill(0, ["olds", "news"]).where("olds <> news or olds > 1")
+    return both.select(F.sha2(F.concat(F.col("pair_id").cast("string"), F.lit("|"), F.col("text")), 256).alias("case_id"), "pair_id", "olds", "news", F.left("text", F.lit(160)).alias("preview"), scoring.cardinality(F.col("olds"), F.col("news")).alias("class"))
+
+
+@query(_CASES + " SELECT * FROM classed")
+def review_cases(spark, sf_dir):
+    """Blocks that equal texts alone don't decide, with stable identities and cardinality classes."""
+    return _cases(spark, sf_dir)
+
+
+@query(_CASES + " SELECT class, count(*) AS cases, CAST(sum(olds + news) AS BIGINT) AS blocks FROM classed GROUP BY class")
+def review_census(spark, sf_dir):
+    """Review cases by class."""
+    return _cases(spark, sf_dir).groupBy("class").agg(F.count("*").alias("cases"), F.sum(F.col("olds") + F.col("news")).alias("blocks"))
+
+
+@query(_CASES + """ SELECT case_id, pair_id, CAST(floor(coalesce(sum(length(preview)) OVER (PARTITION BY pair_id ORDER BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS INTEGER) AS page FROM classed""")
+def review_pages(spark, sf_dir):
+    """Review cases in pages of a bounded size."""
+    return scoring.pages(_cases(spark, sf_dir), ["pair_id"], ["case_id"], F.length("preview"), 2000).select("case_id", "pair_id", "page")
+
+
+@query(BASE + r""", h AS (SELECT pair_id, block, CASE WHEN regexp_matches(text, '^(?:[0-9]+(?:\.[0-9]+)*\.?|[A-Z]\.|Appendix [A-Z0-9]+)[ ]\S') AND length(text) <= 120 THEN text END AS heading FROM old_b)
+SELECT pair_id, block, last_value(heading IGNORE NULLS) OVER (PARTITION BY pair_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h""")
+def sections(spark, sf_dir):
+    """The nearest heading above every block."""
+    return scoring.sections(_blocks(spark, sf_dir)[0]).select("pair_id", "block", "section")
+
+
+@query(BASE + """ SELECT pair_id, block AS src, CAST(lead(block) OVER (PARTITION BY pair_id ORDER BY block) AS INTEGER) AS dst, 'Precedes' AS kind FROM old_b QUALIFY dst IS NOT NULL""")
+def order_edges(spark, sf_dir):
+    """Edges between neighbouring blocks."""
+    old, _ = _blocks(spark, sf_dir)
+    return old.select("pair_id", F.col("block").alias("src"), F.lead("block").over(Window.partitionBy("pair_id").orderBy("block")).alias("dst"), F.lit("Precedes").alias("kind")).where("dst is not null")
+
+
+@query()
+def page_anchors(spark, sf_dir):
+    """Passages of at least eight words that stand once on each side."""
+    docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    old, new = (docs.select(F.col("doc_id").alias("pair_id"), F.col(c).alias("text")) for c in ("text", "revised"))
+    return anchors.page_anchors(old, new, 8)
