@@ -62,3 +62,43 @@ def sections(blocks: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``section``: the nearest numbered heading (``1.2 Title``, ``A. Title``, ``Appendix B``) at or above a block, null before the first."""
     heading = F.when(F.col(text).rlike(r"^(?:[0-9]+(?:\.[0-9]+)*\.?|[A-Z]\.|Appendix [A-Z0-9]+)[ ]\S") & (F.length(text) <= 120), F.col(text))
     return blocks.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy("pair_id").orderBy("block")))
+
+
+def count_witness(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., witnesses): tokens that must stand more often on one side than they can on the other.
+
+    Inputs: (keys..., token, required, possible) counts. A witness proves a change; none proves nothing.
+    """
+    both = old.select(*keys, "token", F.col("required").alias("ro"), F.col("possible").alias("po")).join(new.select(*keys, "token", F.col("required").alias("rn"), F.col("possible").alias("pn")), [*keys, "token"], "full_outer").na.fill(0)
+    return both.where((F.col("ro") > F.col("pn")) | (F.col("rn") > F.col("po"))).groupBy(*keys).agg(F.count("*").alias("witnesses"))
+
+
+def span_overlap(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., both, either, iou): tokens in common of two tables of disjoint spans [start, end), and in either."""
+    def size(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))
+
+    met = actual.join(expected.select(*keys, F.col("start").alias("s"), F.col("end").alias("e")), keys).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
+    common = met.groupBy(*keys).agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("both"))
+    out = size(actual, "a").join(size(expected, "b"), keys, "full_outer").join(common, keys, "left").na.fill(0)
+    either = F.col("a") + F.col("b") - F.col("both")
+    return out.select(*keys, "both", either.alias("either"), F.when(either > 0, F.col("both") / either).alias("iou"))
+
+
+def preflight(work: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:
+    """Adds ``spent`` (running cost within a document, this row included) and ``incomplete``: rows at and after the first that goes beyond the budget."""
+    w = Window.partitionBy("pair_id").orderBy(*order)
+    return work.withColumn("spent", F.sum(cost).over(w)).withColumn("incomplete", F.col("spent") > budget)
+
+
+def compact(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys..., n, first, last, digest): a list of sources as its count, its ends and a SHA-256 over all of it in order."""
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("l"))
+    return listed.select(*keys, F.size("l").alias("n"), F.element_at("l", 1).v.alias("first"), F.element_at("l", -1).v.alias("last"), F.sha2(F.array_join(F.transform("l", lambda x: x.v), "\n"), 256).alias("digest"))
+
+
+def brackets(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(pair_id, block, before, after): the nearest anchors at or before and at or after each block; null beyond the ends."""
+    marked = blocks.select("pair_id", "block").join(anchors.select("pair_id", F.col("old").alias("block"), F.col("old").alias("_a")), ["pair_id", "block"], "left")
+    w = Window.partitionBy("pair_id").orderBy("block")
+    return marked.select("pair_id", "block", F.last("_a", ignorenulls=True).over(w).alias("before"), F.first("_a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))

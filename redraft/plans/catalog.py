@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redraft.functions import text as tx
-from redraft.operators import anchors, candidates, diff, keyed, layout, ordered, scoring
+from redraft.operators import anchors, candidates, diff, graph, keyed, layout, ordered, scoring
 from redraft.options import DEFAULT
 from redraft.sources.revisions import MUTATIONS, mutate, read, revisions
 
@@ -438,3 +438,86 @@ def page_anchors(spark, sf_dir):
     docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text"))
     old, new = (docs.select(F.col("doc_id").alias("pair_id"), F.col(c).alias("text")) for c in ("text", "revised"))
     return anchors.page_anchors(old, new, 8)
+
+
+_TAG_CASE = " ".join(f"WHEN '{tag}' THEN '{kind}'" for tag, kind in graph.KINDS.items())
+
+
+@query(f"""WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(coalesce(html, ''), '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages)
+SELECT page_id, CASE tag {_TAG_CASE} ELSE 'other' END AS kind, count(*) AS nodes, count(DISTINCT tag) AS tags FROM t GROUP BY ALL""")
+def page_nodes(spark, sf_dir):
+    """Nodes of every page by kind."""
+    return graph.tags(read(spark, sf_dir, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("nodes"), F.countDistinct("tag").alias("tags"))
+
+
+@query(BASE + """, e AS (SELECT pair_id, block AS src, block + 1 AS dst FROM old_b), n AS (SELECT pair_id, block FROM old_b) SELECT pair_id, src, CAST(dst AS INTEGER) AS dst FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pair_id = e.pair_id AND n.block = e.dst)""")
+def dangling_edges(spark, sf_dir):
+    """Edges to the next block where there is none."""
+    old, _ = _blocks(spark, sf_dir)
+    return graph.dangling(old, old.select("pair_id", F.col("block").alias("src"), (F.col("block") + 1).alias("dst")))
+
+
+@query()
+def counterparts(spark, sf_dir):
+    """The best one-to-one assignment of blocks by shared n-grams, and what every optimum has."""
+    pairs = candidates.dice_pairs(*_blocks(spark, sf_dir), DEFAULT.ngram).where(F.col("score") >= DEFAULT.match_score)
+    return graph.solve(pairs.select("pair_id", "old", "new", F.floor(F.col("score") * 1_000_000).cast("long").alias("weight")))
+
+
+def _words(table: str) -> str:
+    return f"SELECT pair_id, token, count(*) AS possible, count(*) FILTER (NOT regexp_matches(token, '[-\\x{{2010}}]$')) AS required FROM (SELECT pair_id, unnest(string_split(text, ' ')) AS token FROM {table}) WHERE token <> '' GROUP BY ALL"
+
+
+@query(BASE + f""", a AS ({_words('old_b')}), b AS ({_words('new_b')}) SELECT pair_id, count(*) AS witnesses FROM a FULL JOIN b USING (pair_id, token)
+WHERE coalesce(a.required, 0) > coalesce(b.possible, 0) OR coalesce(b.required, 0) > coalesce(a.possible, 0) GROUP BY pair_id""")
+def count_witnesses(spark, sf_dir):
+    """Words that must stand more often in one revision than they can in the other; those that end in a hyphen are optional."""
+    sides = []
+    for side in _blocks(spark, sf_dir):
+        tokens = side.select("pair_id", F.explode(F.split("text", " ")).alias("token")).where("token <> ''")
+        sides.append(tokens.groupBy("pair_id", "token").agg(F.count("*").alias("possible"), F.count_if(~F.col("token").rlike("[-‐]$")).alias("required")))
+    return scoring.count_witness(*sides, ["pair_id"])
+
+
+@query(BASE + """, p AS (SELECT pair_id, block, length(text) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY pair_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM old_b),
+a AS (SELECT pair_id, s, s + n AS e FROM p WHERE block % 2 = 0 AND n > 0), b AS (SELECT pair_id, s + n // 2 AS s, s + n AS e FROM p WHERE block % 3 = 0 AND n > 1),
+c AS (SELECT a.pair_id, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS common FROM a JOIN b ON a.pair_id = b.pair_id AND a.s < b.e AND b.s < a.e GROUP BY ALL),
+x AS (SELECT pair_id, sum(e - s) AS x FROM a GROUP BY ALL), y AS (SELECT pair_id, sum(e - s) AS y FROM b GROUP BY ALL)
+SELECT pair_id, CAST(coalesce(common, 0) AS BIGINT) AS "both", CAST(coalesce(x, 0) + coalesce(y, 0) - coalesce(common, 0) AS BIGINT) AS either, round(coalesce(common, 0) / (coalesce(x, 0) + coalesce(y, 0) - coalesce(common, 0)), 9) AS iou FROM x FULL JOIN y USING (pair_id) LEFT JOIN c USING (pair_id)""")
+def span_overlap(spark, sf_dir):
+    """Overlap of two families of spans of every document."""
+    old, _ = _blocks(spark, sf_dir)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = old.select("pair_id", "block", F.length("text").alias("n"), start.alias("start"))
+    a = placed.where("block % 2 = 0 and n > 0").select("pair_id", "start", (F.col("start") + F.col("n")).alias("end"))
+    b = placed.where("block % 3 = 0 and n > 1").select("pair_id", (F.col("start") + F.floor(F.col("n") / 2)).alias("start"), (F.col("start") + F.col("n")).alias("end"))
+    return scoring.span_overlap(a, b, ["pair_id"]).withColumn("iou", F.round("iou", 9))
+
+
+@query(BASE + """, s AS (SELECT pair_id, block, sum(greatest(length(text) - 2, 0) * 3) OVER (PARTITION BY pair_id ORDER BY block) AS spent FROM old_b) SELECT pair_id, block, CAST(spent AS BIGINT) AS spent, spent > 5000 AS incomplete FROM s""")
+def work_preflight(spark, sf_dir):
+    """Running n-gram work of every document, and from which block on it is beyond a budget."""
+    work = _blocks(spark, sf_dir)[0].select("pair_id", "block", (F.greatest(F.length("text") - 2, F.lit(0)) * 3).alias("cost"))
+    return scoring.preflight(work, ["block"], "cost", 5000).drop("cost")
+
+
+@query(BASE + """ SELECT pair_id, CAST(count(*) AS INTEGER) AS n, arg_min(text, block) AS first, arg_max(text, block) AS last, sha256(string_agg(text, chr(10) ORDER BY block)) AS digest FROM old_b GROUP BY pair_id""")
+def compact_sources(spark, sf_dir):
+    """Every document's blocks as a count, two samples and a digest."""
+    return scoring.compact(_blocks(spark, sf_dir)[0], ["pair_id"], "block", "text")
+
+
+@query(BASE + """, o AS (SELECT pair_id, text, min(block) AS a FROM old_b WHERE length(text) >= 16 GROUP BY ALL HAVING count(*) = 1), n AS (SELECT pair_id, text FROM new_b WHERE length(text) >= 16 GROUP BY ALL HAVING count(*) = 1),
+k AS (SELECT pair_id, a FROM o JOIN n USING (pair_id, text))
+SELECT b.pair_id, b.block, last_value(k.a IGNORE NULLS) OVER (PARTITION BY b.pair_id ORDER BY b.block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "before", first_value(k.a IGNORE NULLS) OVER (PARTITION BY b.pair_id ORDER BY b.block ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS "after"
+FROM old_b b LEFT JOIN k ON k.pair_id = b.pair_id AND k.a = b.block""")
+def brackets(spark, sf_dir):
+    """The nearest anchors around every block."""
+    old, new = _blocks(spark, sf_dir)
+    return scoring.brackets(old, anchors.unique_pairs(old, new, DEFAULT.anchor_tokens))
+
+
+@query()
+def local_candidates(spark, sf_dir):
+    """Candidates with a quarter of the places kept for neighbours of the best."""
+    return candidates.local_quota(candidates.inverted_index(*_blocks(spark, sf_dir), DEFAULT.ngram, 1 << 30), 8)

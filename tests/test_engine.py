@@ -2,13 +2,14 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from redraft.functions import text as tx
-from redraft.operators import anchors, candidates, diff, keyed, ordered, scoring
+from redraft.operators import anchors, candidates, diff, graph, keyed, ordered, scoring
 from redraft.options import Options
 
 TEXTS = st.text("abc ", max_size=7)
@@ -134,3 +135,36 @@ def test_registered_oracles_match_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 4), st.data())
+def test_assignment_is_best(n, m, data):
+    w = np.array(data.draw(st.lists(st.lists(st.integers(0, 9), min_size=m, max_size=m), min_size=n, max_size=n)))
+    best = 0
+    for k in range(min(n, m) + 1):
+        for rows in itertools.combinations(range(n), k):
+            for cols in itertools.permutations(range(m), k):
+                best = max(best, int(sum(w[i, j] for i, j in zip(rows, cols))))
+    total, pairs = graph.assign(w)
+    assert total == best == sum(int(w[p]) for p in pairs)
+    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+
+
+def test_ties_are_not_mandatory(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 1, 5), (1, 0, 1, 5), (1, 1, 0, 5), (2, 0, 0, 3), (2, 0, 1, 2)], "pair_id long, old long, new long, weight long")
+    found = graph.solve(rows).collect()
+    assert {(r.pair_id, r.mandatory) for r in found} == {(1, False), (2, True)}
+    assert [r.weight for r in graph.solve(rows, most=1).collect()] == [None, None]
+
+
+def test_span_overlap(spark):
+    a = spark.createDataFrame([(1, 0, 5), (1, 8, 10)], "pair_id long, start int, end int")
+    b = spark.createDataFrame([(1, 3, 9), (2, 0, 1)], "pair_id long, start int, end int")
+    assert {r.pair_id: (r.both, r.either) for r in scoring.span_overlap(a, b, ["pair_id"]).collect()} == {1: (3, 10), 2: (0, 1)}
+
+
+def test_page_anchors_merge_on_a_diagonal(spark):
+    old = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y")], "pair_id long, text string")
+    new = spark.createDataFrame([(1, "z a b c d e q f g"), (2, None)], "pair_id long, text string")
+    assert [(r.pair_id, r.old_from, r.new_from, r.length) for r in anchors.page_anchors(old, new, 3).collect()] == [(1, 0, 1, 5)]
