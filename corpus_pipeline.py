@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redraft.llm import language_id, line_dedup, packing, pii, simhash
-from redraft.llm.common import Scratch, table
+from redraft.llm.common import Scratch, as_columns, table
 
 #: A predicted language whose posterior is lower is rejected.
 LEAST_POSTERIOR = 0.5
+#: Words that a Python worker remembers: fewer than an operator alone may, as its stages' workers and heap stay around.
+MEMO = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with confidence, with that language; without letters they go."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    languages, pieces = language_id.train(docs.where(~language_id.held_out("doc_id")), model)
-    found = language_id.predict(docs, model, languages, pieces)
+    languages, pieces = language_id.train(docs.where(~language_id.held_out("doc_id")), model, memo=MEMO)
+    found = language_id.predict(docs, model, languages, pieces, memo=MEMO)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return as_columns(kept.withColumn("lang", F.col("lang_pred")), docs.columns)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +38,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Texts with the kind in place of personal data, and their new lengths."""
     found = Scratch(spark, "pii").keep(pii.with_candidates(docs, "text", "_spans"), "candidates")
     out = pii.masked(pii.decided(found, "_spans"), "text", "_spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return as_columns(out.withColumn("n_chars", F.length("text").cast("long")), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, memo=MEMO)
 
 
 STAGES = [

@@ -36,10 +36,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet under ``name`` and return the written table."""
+    def keep(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet under ``name`` and return the written table.
+
+        ``release`` asks the driver to collect its garbage: Spark deletes the shuffle files of finished jobs only
+        when the driver has forgotten them, and large steps in a row would hold all of theirs at once.
+        """
         schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        if release:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
@@ -54,6 +60,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
+def as_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, whatever characters the names hold."""
+    return df.select(*[F.col(f"`{n}`") for n in names])
+
+
 def lower_ascii(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,3 +123,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator
         end = max(end, at + 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one object with its memory at a time, the last asked for."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

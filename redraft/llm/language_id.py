@@ -24,11 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redraft.llm.common import arrow_map, remembered, slices
-from redraft.llm.sentencepiece_bpe import MARK, load
+from redraft.llm.common import arrow_map, remembered, resident, slices
+from redraft.llm.sentencepiece_bpe import MARK, BpeModel, load
 
 _NUMBER = itertools.count()
-_SCORERS: dict[str, Scorer] = {}
 #: What a character outside the vocabulary costs in any language.
 UNKNOWN = 1e-7
 
@@ -128,7 +127,7 @@ class Scorer:
         return self.rows[list(map(self.place.__getitem__, found))] if found else np.zeros((0, self.n))
 
 
-def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5):
+def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, memo: int = 1_000_000):
     """(languages in order, probabilities[piece, language]) from all rows with text and language.
 
     Piece counts come from the vocabulary's own segmentation of every word; ``smooth`` is added to
@@ -136,7 +135,7 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, memo)
         size = model.library.get_piece_size()
         total: dict[str, np.ndarray] = {}
 
@@ -171,11 +170,12 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     return languages, counts / counts.sum(axis=0)
 
 
-def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.ndarray, text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (posterior, 0 to 1) to the rows; reads the text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to
     the language first in order. Columns of these two names are replaced.
+    ``memo``: so many words each Python worker remembers.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in kept])
@@ -184,12 +184,9 @@ def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.nd
     key = f"{next(_NUMBER)}:{shared.id if hasattr(shared, 'id') else 0}:{hash(table.tobytes())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(load(model_path).ids, shared.value)
-        scorer = _SCORERS[key]
+        scorer = resident(("Scorer", key), lambda: Scorer(BpeModel(model_path).ids, shared.value, memo))
         for batch in batches:
-            for part in slices(batch, 0, 8 << 20):
+            for part in slices(batch, 0):
                 langs, scores = ["und"] * len(part), [0.0] * len(part)
                 index, distinct, ends = words(part.column(0))
                 starts = np.concatenate([[0], ends[:-1]])

@@ -25,9 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Memo, Scratch, arrow_map, gathered, remembered, slices
+from redraft.llm.common import Memo, Scratch, arrow_map, gathered, remembered, resident, slices
 
-_LOADED: dict[str, WordIds] = {}
 #: Words of characters that lower-case and normalise one by one, and how the vocabulary's pre-tokenizer
 #: cuts them (a fixed pattern of the vocabulary file, compared with the file when it is loaded).
 _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
@@ -79,11 +78,9 @@ class WordIds:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def load(path: str) -> WordIds:
-    """The tokenizer of a file, once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+def load(path: str, memo: int = 1_000_000) -> WordIds:
+    """The tokenizer of a file, once per Python worker; it remembers at most ``memo`` words."""
+    return resident(("WordIds", path, memo), lambda: WordIds(path, memo))
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -138,20 +135,21 @@ def _tightest(there: np.ndarray, left: np.ndarray, used: dict[int, int], room: i
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int = 1_000_000
 ) -> DataFrame:
     """Cut documents longer than ``capacity`` into pieces and pack all pieces.
 
     Returns per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset; with
     ``keep_ids`` also ids (array<int>). A null text is empty: one piece, the end id. Repeated rows and null ids
     are packed like others. An empty table gives an empty result. Columns other than the two named are not read.
+    ``memo``: so many words each Python worker remembers (some 250 bytes each).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, task = load(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        coder, end, task = load(tokenizer_path, memo), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, 1):

@@ -33,12 +33,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Memo, arrow_map, gathered, remembered, slices
+from redraft.llm.common import Memo, arrow_map, gathered, remembered, resident, slices
 
 MARK = "▁"
 _NEVER = float("inf")
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_LOADED: dict[str, BpeModel] = {}
 
 
 class BpeModel:
@@ -138,12 +137,15 @@ class BpeModel:
         return b"".join(parts)
 
     def learn(self, words: list[str], check: bool = False) -> list[bytes]:
-        """Ids of chunks given without their first mark; with ``check`` the library must give the same."""
+        """Ids of chunks given without their first mark; with ``check`` the library must give the same.
+
+        A single mark alone can't be checked so: no text of its own gives it.
+        """
         self.small.room()
         coded = [self.chunk(MARK + w) for w in words]
         if check:
-            for own, want in zip(coded, self.library.encode([w.replace(MARK, " ") or MARK for w in words], num_threads=1), strict=True):
-                if own != struct.pack(f"<{len(want)}I", *want):
+            for word, own, want in zip(words, coded, self.library.encode([w.replace(MARK, " ") for w in words], num_threads=1), strict=True):
+                if word and own != struct.pack(f"<{len(want)}I", *want):
                     _same(np.frombuffer(own, "<u4").tolist(), want)
         return coded
 
@@ -180,11 +182,9 @@ class BpeModel:
         return self.encode_all(pa.array([text], pa.string()), check)[0]
 
 
-def load(path: str) -> BpeModel:
-    """The model of a file, once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = BpeModel(path)
-    return _LOADED[path]
+def load(path: str, memo: int = 1_000_000) -> BpeModel:
+    """The model of a file, once per Python worker; it remembers at most ``memo`` chunks."""
+    return resident(("BpeModel", path, memo), lambda: BpeModel(path, memo))
 
 
 def encode_decode(
