@@ -6,10 +6,10 @@
    first; short lines are thrown repeatedly with other hashes until the bins are about as full.
 3. ``rows`` bins make a band; lines that agree in a band share a bucket. At Jaccard 0.8 a pair meets in one of
    8 bands of 3 with probability 0.997.
-4. In each bucket a leader is compared with all others by exact Jaccard of their shingle sets, and who is
-   linked to it is settled. Of the rest, all (in small buckets) or some become leaders, are compared with the whole bucket,
-   and so on until everyone is settled. That compares a large bucket of near copies with its few leaders instead
-   of all its pairs, and leaves nobody out.
+4. In each bucket a leader, chosen by hash, is compared with all others by exact Jaccard of their shingle sets, and who
+   is linked to it is settled. In small buckets all others are compared too; in large ones the rest chooses 2, then 4, 8 ...
+   leaders until everyone is settled, so that near copies cost a few comparisons each, not one with each other. Every
+   bucket has leaders of its own, so lines that one bucket leaves in two clusters are joined by another.
 5. Components of the links come from distributed union-find; each keeps its first line.
 """
 
@@ -20,14 +20,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redraft.llm.common import Scratch
+from redraft.llm.common import Scratch, as_columns
 from redraft.llm.components import components
 
-#: Throws per bin at which a bin stays empty once in e ** 5 times, and the most repeats of short lines' throws.
-FULL, MOST_REPEATS = 5, 128
+#: Throws per bin at which a bin stays empty once in e ** 4 times, and the most repeats of short lines' throws.
+FULL, MOST_REPEATS = 4, 128
 _LOW = 2**40 - 1
-#: Buckets in which all that a first leader leaves are leaders at once, and how many are in larger ones.
-SMALL, LEADERS = 32, 16
+#: The largest buckets of which all pairs may be compared.
+SMALL = 8
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,27 +37,26 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.withColumn("_k", F.when(filled, F.xxhash64("_line"))).withColumn("_k2", F.when(filled, F.xxhash64("_line", F.lit(1))))
 
 
-def signatures(nodes: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(key, k): the buckets of each node. ``nodes``: k, line; partitioned by k, which all steps keep."""
+def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """(key, k): the buckets of each line (k, line). All steps group by k and more: rows dealt by k stay where they are."""
     bins = bands * rows
-    units = nodes.select("k", F.encode("line", "UTF-16BE").alias("b")).where(F.length("b") >= 2 * size).withColumn("m", (F.length("b") / 2 - (size - 1)).cast("int"))
+    units = lines.select("k", F.encode("line", "UTF-16BE").alias("b")).where(F.length("b") >= 2 * size).withColumn("m", (F.length("b") / 2 - (size - 1)).cast("int"))
 
     def repeats(m: Column) -> Column:  # powers of two; the same for all lines with enough shingles
         return F.least(F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.lit(float(FULL * bins)) / m)), F.lit(0))), F.lit(float(MOST_REPEATS))).cast("int")
 
     # a line near the end of a range of lengths is thrown for the next range too, where its near copies may lie
     levels = units.select("k", "b", "m", F.explode(F.array_distinct(F.array(repeats(F.col("m")), repeats(F.col("m") * 1.25)))).alias("level"))
-    thrown = levels.select("k", "level", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")).select("k", "level", "m", F.xxhash64(F.expr(f"substring(b, 2 * i + 1, {2 * size})")).alias("h"))
-    many = thrown.where("level > 1").select("k", "level", "m", "h", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("r")).select("k", "level", "m", F.when(F.col("r") == 0, F.col("h")).otherwise(F.xxhash64("h", "r")).alias("h"))
+    thrown = levels.select("k", "level", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("level") - 1)).alias("i"))
+    # zero, but not the same for the optimizer each time: else the filter below would compute every hash once more
+    once = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
+    hashed = thrown.select("k", "level", "m", (F.col("i") % F.col("level")).alias("r"), F.xxhash64(F.expr(f"substring(b, 2 * cast(i div level as int) + 1, {2 * size})")).bitwiseXOR(once).alias("h"))
+    again = hashed.select("k", "level", "m", F.when(F.col("r") == 0, F.col("h")).otherwise(F.xxhash64("h", "r")).alias("h"))
     low = F.col("h").bitwiseAND(_LOW)
-    likely = thrown.where("level = 1").where(low < F.lit(float((_LOW + 1) * FULL * bins)) / F.col("m"))
-
-    def keyed(part: DataFrame) -> DataFrame:
-        least = part.groupBy("k", "level", F.pmod(F.shiftrightunsigned("h", 40).cast("int"), F.lit(bins)).alias("bin")).agg(F.min(low).alias("v"))
-        by_band = least.groupBy("k", "level", F.floor(F.col("bin") / rows).cast("int").alias("band")).agg(F.expr("bit_xor(xxhash64(bin, v))").alias("x"), F.count("*").alias("n"))
-        return by_band.where(F.col("n") == rows).select(F.xxhash64("level", "band", "x").alias("key"), "k")
-
-    return keyed(likely).union(keyed(many))
+    likely = again.where((F.col("level") > 1) | (low < F.lit(float((_LOW + 1) * FULL * bins)) / F.col("m")))
+    least = likely.groupBy("k", "level", F.pmod(F.shiftrightunsigned("h", 40).cast("int"), F.lit(bins)).alias("bin")).agg(F.min(low).alias("v"))
+    by_band = least.groupBy("k", "level", F.floor(F.col("bin") / rows).cast("int").alias("band")).agg(F.expr("bit_xor(xxhash64(bin, v))").alias("x"), F.count("*").alias("n"))
+    return by_band.where(F.col("n") == rows).select(F.xxhash64("level", "band", "x").alias("key"), "k")
 
 
 def shingles(line: Column, size: int) -> Column:
@@ -76,28 +75,36 @@ def similar(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> Data
     return counts.where(F.col("n") >= least * (F.col("total") - F.col("n"))).select("a", "b")
 
 
-def links(nodes: DataFrame, scratch: Scratch, size: int, bands: int, rows: int, least: float) -> DataFrame | None:
-    """Verified links (a, b) of nodes that share a bucket; None if no bucket has two."""
-    buckets = scratch.keep(signatures(nodes, size, bands, rows).distinct(), "buckets")
-    sizes = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = scratch.keep(buckets.join(sizes, "key"), "members")
+def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int, least: float) -> DataFrame | None:
+    """Verified links (a, b) of the lines (k, line) that share a bucket; None if no bucket has two."""
+
+    def distinct(part: DataFrame) -> DataFrame:
+        return part.groupBy("k").agg(F.min("line").alias("line"))
+
+    buckets = scratch.keep(signatures(distinct(lines), size, bands, rows), "buckets", release=True)
+    sizes = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes", release=True)
+    members = scratch.keep(buckets.join(sizes, "key"), "members", release=True)
     scratch.drop("buckets")
-    met = scratch.keep(nodes.join(members.select("k").distinct(), "k", "left_semi"), "met")
+    scratch.drop("sizes")
+    # Texts are wanted of the members alone. Their hashes' low bits, of which there are at most 2 ** 20 whatever the input,
+    # are broadcast and keep most other texts from the shuffle; the join by the whole hash decides.
+    low = F.col("k").bitwiseAND(2**20 - 1)
+    likely = lines.withColumn("_low", low).join(F.broadcast(members.select(low.alias("_low")).distinct()), "_low", "left_semi")
+    met = scratch.keep(distinct(likely.select("k", "line")).join(members.select("k").distinct(), "k", "left_semi"), "met", release=True)
     active, turn, found, tested = members, 0, [], None
     while not active.isEmpty():
         turn += 1
-        if turn == 1:
-            leaders = active.groupBy("key").agg(F.min("k").alias("lead"))
-        else:
-            order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("k", F.lit(turn)), "k"))
-            few = active.where(F.col("n") > SMALL).withColumn("_r", order).where(F.col("_r") <= LEADERS)
-            leaders = active.where(F.col("n") <= SMALL).select("key", F.col("k").alias("lead")).union(few.select("key", F.col("k").alias("lead")))
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("k", "key", F.lit(turn)), "k"))
+        few = active.where((F.col("n") > SMALL) | F.lit(turn == 1)).withColumn("_r", order).where(F.col("_r") <= 2 ** (turn - 1))
+        leaders = few.select("key", F.col("k").alias("lead"))
+        if turn > 1:
+            leaders = leaders.union(active.where(F.col("n") <= SMALL).select("key", F.col("k").alias("lead")))
         leaders = scratch.keep(leaders, f"leaders-{turn}")
 
         def led(rows: DataFrame, leaders: DataFrame = leaders) -> DataFrame:
             return rows.join(leaders, "key").where("k <> lead").select("key", "k", F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b"))
 
-        pairs = led(members).select("a", "b").distinct()
+        pairs = led(active.union(members.where(F.col("n") <= SMALL)) if turn > 1 else active).select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{turn}")
@@ -105,7 +112,7 @@ def links(nodes: DataFrame, scratch: Scratch, size: int, bands: int, rows: int,
         tested = pairs if tested is None else tested.union(pairs)
         linked = reduce(DataFrame.union, found)
         settled = led(active).join(linked, ["a", "b"], "left_semi").select("key", "k").union(leaders.select("key", F.col("lead").alias("k")))
-        active = scratch.keep(active.join(scratch.keep(settled, f"settled-{turn}"), ["key", "k"], "left_anti"), f"active-{turn}")
+        active = scratch.keep(active.join(scratch.keep(settled, f"settled-{turn}"), ["key", "k"], "left_anti"), f"active-{turn}", release=True)
     return reduce(DataFrame.union, found) if found else None
 
 
@@ -116,17 +123,16 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     """
     place = F.struct(F.col(id_col).alias("doc"), F.col("_n").alias("n"))
     every = lines_of(docs.select(id_col, F.col(text_col).alias("_text")), "_text").where("_k is not null")
-    nodes = scratch.keep(every.groupBy(F.col("_k").alias("k")).agg(F.min(F.struct(place.alias("at"), F.col("_k2").alias("k2"), F.col("_line").alias("line"))).alias("x")).select("k", "x.k2", "x.at", "x.line"), "nodes")
-    firsts = nodes.select("k", "k2", "at")
-    linked = links(nodes, scratch, size, bands, rows, least)
+    firsts = scratch.keep(every.groupBy(F.col("_k").alias("k")).agg(F.min(F.struct(place.alias("at"), F.col("_k2").alias("k2"))).alias("x")).select("k", "x.k2", "x.at"), "firsts", release=True)
+    linked = links(every.select(F.col("_k").alias("k"), F.col("_line").alias("line")), scratch, size, bands, rows, least)
     if linked is None:
         return firsts.select("k", "k2", "at.doc", "at.n")
     classes = scratch.keep(components(linked, scratch), "classes")
     first = classes.join(firsts, classes.node == firsts.k).groupBy("component").agg(F.min("at").alias("first"))
     of = scratch.keep(classes.join(scratch.keep(first, "first"), "component").select(F.col("node").alias("k"), "first"), "of")
     out = scratch.keep(firsts.join(of, "k", "left").select("k", "k2", F.coalesce("first", "at").alias("at")).select("k", "k2", "at.doc", "at.n"), "places")
-    scratch.drop("nodes")
-    scratch.drop("met")
+    for large in ("firsts", "met", "members"):
+        scratch.drop(large)
     return out
 
 
@@ -171,4 +177,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.where(F.col("_left").isNull() | F.exists("_left", lambda x: F.length(F.trim(x)) > 0)).withColumn(text_col, F.coalesce(F.array_join("_left", "\n"), F.col(text_col)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col("_left").isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(docs.columns)
+    return as_columns(out, docs.columns)
