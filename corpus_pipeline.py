@@ -12,11 +12,19 @@ from redraft.llm.common import Scratch, as_columns, table
 #: A predicted language whose posterior is lower is rejected.
 LEAST_POSTERIOR = 0.5
 #: Words that a Python worker remembers: fewer than an operator alone may, as its stages' workers and heap stay around.
-MEMO = 250_000
+MEMO = 100_000
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, for the rest of the session; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with confidence, with that language; without letters they go."""
+    _small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     languages, pieces = language_id.train(docs.where(~language_id.held_out("doc_id")), model, memo=MEMO)
     found = language_id.predict(docs, model, languages, pieces, memo=MEMO)
@@ -31,6 +39,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-equal fingerprints."""
+    _small_batches(spark)
     return simhash.deduplicate(docs, radius=4)
 
 
@@ -43,7 +52,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, memo=MEMO)
+    _small_batches(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, memo=MEMO, slice_bytes=4 << 20)
 
 
 STAGES = [

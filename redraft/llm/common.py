@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,8 +59,24 @@ class Scratch:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``; the frame must already be narrowed to the columns that ``fn`` reads."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``; the frame must already be narrowed to the columns that ``fn`` reads.
+
+    A task that ends gives back what its worker doesn't use: workers wait for later tasks beside the executor's heap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as far as the allocators do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def as_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -105,16 +124,16 @@ def gathered(memo: Memo, words: pa.Array, learn: Callable[[list[str]], list[byte
     coded = words.dictionary_encode()
     values = remembered(memo, coded.dictionary.to_pylist(), learn)
     flat = np.frombuffer(b"".join(values), "<u4")
-    length = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    start = np.cumsum(length) - length
+    length = np.fromiter(map(len, values), np.int32, len(values)) // 4
+    start = np.cumsum(length, dtype=np.int32) - length
     index = coded.indices.to_numpy()
     each = length[index]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start[index] - (ends - each), each) + np.arange(total)], ends
+    ends = np.cumsum(each, dtype=np.int32)  # a slice of texts has far fewer than 2 ** 31 ids
+    shift = start[index] - (ends - each)
+    return flat[np.repeat(shift, each) + np.arange(len(shift) and int(ends[-1]), dtype=np.int32)], ends
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts (no nulls) have about ``most`` bytes together, one row at least."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0

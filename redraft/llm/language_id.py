@@ -48,7 +48,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 class Scorer:
     """Log-likelihoods of words in all languages; pieces' probabilities are ``table[piece]``."""
 
-    def __init__(self, pieces: dict[str, int], table: np.ndarray, memo: int = 1_000_000):
+    def __init__(self, pieces: dict[str, int], table: np.ndarray, memo: int = 600_000):
         self.n, self.limit = table.shape[1], memo
         self.trie: dict = {}  # of reversed pieces: what may end at a character
         rows = table.tolist()
@@ -127,7 +127,7 @@ class Scorer:
         return self.rows[list(map(self.place.__getitem__, found))] if found else np.zeros((0, self.n))
 
 
-def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, memo: int = 1_000_000):
+def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5, memo: int = 600_000):
     """(languages in order, probabilities[piece, language]) from all rows with text and language.
 
     Piece counts come from the vocabulary's own segmentation of every word; ``smooth`` is added to
@@ -170,7 +170,7 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     return languages, counts / counts.sum(axis=0)
 
 
-def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.ndarray, text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
+def predict(docs: DataFrame, model_path: str, languages: list[str], table: np.ndarray, text_col: str = "text", memo: int = 600_000) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (posterior, 0 to 1) to the rows; reads the text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to

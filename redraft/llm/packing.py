@@ -41,7 +41,7 @@ class WordIds:
     the loaded file by comparing some joined words.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +78,7 @@ class WordIds:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def load(path: str, memo: int = 1_000_000) -> WordIds:
+def load(path: str, memo: int = 600_000) -> WordIds:
     """The tokenizer of a file, once per Python worker; it remembers at most ``memo`` words."""
     return resident(("WordIds", path, memo), lambda: WordIds(path, memo))
 
@@ -135,14 +135,14 @@ def _tightest(there: np.ndarray, left: np.ndarray, used: dict[int, int], room: i
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int = 1_000_000
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int = 1_000_000, slice_bytes: int = 16 << 20
 ) -> DataFrame:
     """Cut documents longer than ``capacity`` into pieces and pack all pieces.
 
     Returns per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset; with
     ``keep_ids`` also ids (array<int>). A null text is empty: one piece, the end id. Repeated rows and null ids
     are packed like others. An empty table gives an empty result. Columns other than the two named are not read.
-    ``memo``: so many words each Python worker remembers (some 250 bytes each).
+    ``memo``: so many words each Python worker remembers (some 250 bytes each); ``slice_bytes``: text that it cuts into words at once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -152,7 +152,7 @@ def pack(
         coder, end, task = load(tokenizer_path, memo), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, slice_bytes):
                 row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
                 for i, coded in enumerate(coder.encode_all(part.column(1))):
                     coded += end

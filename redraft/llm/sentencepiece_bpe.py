@@ -43,7 +43,7 @@ _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class BpeModel:
     """A BPE model of the sentencepiece library, encoded by this module's own agenda."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 600_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cost: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -182,7 +182,7 @@ class BpeModel:
         return self.encode_all(pa.array([text], pa.string()), check)[0]
 
 
-def load(path: str, memo: int = 1_000_000) -> BpeModel:
+def load(path: str, memo: int = 600_000) -> BpeModel:
     """The model of a file, once per Python worker; it remembers at most ``memo`` chunks."""
     return resident(("BpeModel", path, memo), lambda: BpeModel(path, memo))
 
