@@ -34,6 +34,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRETOKENS = regex.compile(PATTERN).findall
 
 
+def _parts(word: str) -> list[str] | None:
+    """Pre-tokens of a plain word, None for others; letters alone or before one mark need no pattern."""
+    if not (word.isascii() and word.isprintable() or _PLAIN(word)) or "<|" in word:
+        return None
+    if word.isalpha():
+        return [word.lower()]
+    if word[-1:] in (",", ".") and word[:-1].isalpha():
+        return [word[:-1].lower(), word[-1]]
+    return _PRETOKENS(word.lower())
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space: words are encoded once and remembered.
 
@@ -67,7 +78,7 @@ class WordIds:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words: those of plain Latin characters by their pre-tokens, others by the library."""
-        parts = [_PRETOKENS(w.lower()) if _PLAIN(w) and "<|" not in w else None for w in words]
+        parts = [_parts(w) for w in words]
         known = [*{x for p in parts if p is not None for x in p}]
         known = dict(zip(known, remembered(self.small, known, self._library), strict=True))
         other = self._library([w for w, p in zip(words, parts, strict=True) if p is None])
