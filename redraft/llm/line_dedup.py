@@ -6,17 +6,15 @@
    first; short lines are thrown repeatedly with other hashes until the bins are about as full.
 3. ``rows`` bins make a band; lines that agree in a band share a bucket. At Jaccard 0.8 a pair meets in one of
    8 bands of 3 with probability 0.997.
-4. In each bucket a leader, chosen by hash, is compared with all others by exact Jaccard of their shingle sets, and who
-   is linked to it is settled. In small buckets all others are compared too; in large ones the rest chooses 2, then 4, 8 ...
-   leaders until everyone is settled, so that near copies cost a few comparisons each, not one with each other. Every
-   bucket has leaders of its own, so lines that one bucket leaves in two clusters are joined by another.
-5. Components of the links come from distributed union-find; each keeps its first line.
+4. In each bucket a leader, chosen by hash, is compared with all others by exact Jaccard of their shingle sets. Components
+   of these links come from distributed union-find; near copies are mostly joined then, at one comparison each.
+5. Then all pairs of a bucket that are in two components are compared, large buckets in pairs of blocks. So every pair
+   that shares a bucket is either compared or joined already, and the components are those of all pairs' links.
+6. Components of all links come from distributed union-find too; each keeps its first line.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +24,8 @@ from redraft.llm.components import components
 #: Throws per bin at which a bin stays empty once in e ** 4 times, and the most repeats of short lines' throws.
 FULL, MOST_REPEATS = 4, 128
 _LOW = 2**40 - 1
-#: The largest buckets of which all pairs may be compared.
-SMALL = 8
+#: Members of a bucket in one block: a task compares two blocks at once.
+BLOCK = 256
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -75,8 +73,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> Data
     return counts.where(F.col("n") >= least * (F.col("total") - F.col("n"))).select("a", "b")
 
 
-def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int, least: float) -> DataFrame | None:
-    """Verified links (a, b) of the lines (k, line) that share a bucket; None if no bucket has two."""
+def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int, least: float) -> DataFrame:
+    """Verified links (a, b) of the lines (k, line): they join all that share a bucket and are similar."""
 
     def distinct(part: DataFrame) -> DataFrame:
         return part.groupBy("k").agg(F.min("line").alias("line"))
@@ -91,29 +89,21 @@ def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int,
     low = F.col("k").bitwiseAND(2**20 - 1)
     likely = lines.withColumn("_low", low).join(F.broadcast(members.select(low.alias("_low")).distinct()), "_low", "left_semi")
     met = scratch.keep(distinct(likely.select("k", "line")).join(members.select("k").distinct(), "k", "left_semi"), "met", release=True)
-    active, turn, found, tested = members, 0, [], None
-    while not active.isEmpty():
-        turn += 1
-        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("k", "key", F.lit(turn)), "k"))
-        few = active.where((F.col("n") > SMALL) | F.lit(turn == 1)).withColumn("_r", order).where(F.col("_r") <= 2 ** (turn - 1))
-        leaders = few.select("key", F.col("k").alias("lead"))
-        if turn > 1:
-            leaders = leaders.union(active.where(F.col("n") <= SMALL).select("key", F.col("k").alias("lead")))
-        leaders = scratch.keep(leaders, f"leaders-{turn}")
-
-        def led(rows: DataFrame, leaders: DataFrame = leaders) -> DataFrame:
-            return rows.join(leaders, "key").where("k <> lead").select("key", "k", F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b"))
-
-        pairs = led(active.union(members.where(F.col("n") <= SMALL)) if turn > 1 else active).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        found.append(scratch.keep(similar(pairs, met, size, least), f"near-{turn}"))
-        tested = pairs if tested is None else tested.union(pairs)
-        linked = reduce(DataFrame.union, found)
-        settled = led(active).join(linked, ["a", "b"], "left_semi").select("key", "k").union(leaders.select("key", F.col("lead").alias("k")))
-        active = scratch.keep(active.join(scratch.keep(settled, f"settled-{turn}"), ["key", "k"], "left_anti"), f"active-{turn}", release=True)
-    return reduce(DataFrame.union, found) if found else None
+    heads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("k", "key").alias("h"), "k")).alias("x")).select("key", F.col("x.k").alias("lead"))
+    led = scratch.keep(members.join(heads, "key"), "led", release=True)
+    first = led.where("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+    near = scratch.keep(similar(scratch.keep(first, "pairs-1"), met, size, least), "near-1", release=True)
+    joined = components(near, scratch)
+    of = scratch.keep(led.join(joined, led.k == joined.node, "left").select("key", "k", "n", (F.col("k") == F.col("lead")).alias("head"), F.coalesce("component", "k").alias("c")), "labelled", release=True)
+    scratch.drop("led")
+    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
+    # its leader has been compared with everyone; who is joined already needs no comparison
+    rest = of.where(~F.col("head")).join(several, "key").withColumn("own", F.pmod(F.xxhash64("k"), last + 1).cast("int"))
+    dealt = scratch.keep(rest.select("key", "k", "c", "own", F.explode(F.sequence(F.lit(0), last)).alias("other")).select("key", "k", "c", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "dealt")
+    one, two = (dealt.select("key", "p", "q", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}")) for k in "ab")
+    pairs = one.join(two, ["key", "p", "q"]).where("a < b and ca <> cb and (owna <> ownb or p = q)").select("a", "b").distinct()
+    return near.union(scratch.keep(similar(scratch.keep(pairs, "pairs-2", release=True), met, size, least), "near-2"))
 
 
 def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", size: int = 9, bands: int = 8, rows: int = 3, least: float = 0.8) -> DataFrame:
@@ -125,8 +115,6 @@ def find(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str
     every = lines_of(docs.select(id_col, F.col(text_col).alias("_text")), "_text").where("_k is not null")
     firsts = scratch.keep(every.groupBy(F.col("_k").alias("k")).agg(F.min(F.struct(place.alias("at"), F.col("_k2").alias("k2"))).alias("x")).select("k", "x.k2", "x.at"), "firsts", release=True)
     linked = links(every.select(F.col("_k").alias("k"), F.col("_line").alias("line")), scratch, size, bands, rows, least)
-    if linked is None:
-        return firsts.select("k", "k2", "at.doc", "at.n")
     classes = scratch.keep(components(linked, scratch), "classes")
     first = classes.join(firsts, classes.node == firsts.k).groupBy("component").agg(F.min("at").alias("first"))
     of = scratch.keep(classes.join(scratch.keep(first, "first"), "component").select(F.col("node").alias("k"), "first"), "of")

@@ -313,6 +313,37 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.duplicates(none).count() == 0
 
 
+def test_line_dedup_joins_chains_in_large_buckets(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(6):
+        base = list(map(str, rng.choice([f"word{i}x" for i in range(300)], 24)))
+        for i in range(60):  # each a few words away from the one before: neighbours are similar, the ends are not
+            if i:
+                base[int(rng.integers(0, 24))] = f"{family}w{i}"
+            rows.append((family * 1000 + i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = line_dedup.signatures(df.select(F.col("doc_id").alias("k"), F.col("text").alias("line")), 9, 1, 1)
+    met = {}
+    for r in members.collect():
+        met.setdefault(r.key, []).append(r.k)
+    assert max(map(len, met.values())) > 8
+    text = dict(rows)
+    sets = {i: {t[j : j + 9] for j in range(len(t) - 8)} for i, t in rows}
+    parent = {i: i for i in text}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in {p for x in met.values() for p in itertools.combinations(sorted(set(x)), 2)}:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    assert {r.doc_id: r.first_id for r in line_dedup.duplicates(df, bands=1, rows=1).collect()} == {i: root(i) for i in text}
+
+
 def test_line_dedup_of_documents(spark, docs):
     out = line_dedup.deduplicate(docs)
     assert out.columns == docs.columns
