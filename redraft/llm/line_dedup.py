@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash over character shingles. DataFrame operations only.
 
 1. Equal lines become one node (pre-aggregated in the tasks that read them), named by a 64-bit hash.
-2. A node's shingles (runs of ``size`` UTF-16 units) are hashed once; the hash picks one of ``bands * rows`` bins
+2. A node's distinct shingles (runs of ``size`` UTF-16 units) are hashed once; the hash picks one of ``bands * rows`` bins
    and each bin keeps its least hash (one-permutation MinHash). Hashes that can hardly be a least one are left out
-   first; short lines are thrown repeatedly with other hashes until the bins are about as full.
+   first; lines of few distinct shingles are thrown repeatedly with other hashes until the bins are about as full.
 3. ``rows`` bins make a band; lines that agree in a band share a bucket. At Jaccard 0.8 a pair meets in one of
    8 bands of 3 with probability 0.997.
 4. In each bucket a leader, chosen by hash, is compared with all others by exact Jaccard of their shingle sets. Components
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from redraft.llm.common import Scratch, as_columns
 from redraft.llm.components import components
 
-#: Throws per bin at which a bin stays empty once in e ** 4 times, and the most repeats of short lines' throws.
+#: Throws per bin at which a bin stays empty once in e ** 4 times, and the most repeats of the throws of few shingles.
 FULL, MOST_REPEATS = 4, 128
 _LOW = 2**40 - 1
 #: Members of a bucket in one block: a task compares two blocks at once.
@@ -38,18 +38,16 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(key, k): the buckets of each line (k, line). All steps group by k and more: rows dealt by k stay where they are."""
     bins = bands * rows
-    units = lines.select("k", F.encode("line", "UTF-16BE").alias("b")).where(F.length("b") >= 2 * size).withColumn("m", (F.length("b") / 2 - (size - 1)).cast("int"))
+    units = lines.where(F.length(F.encode("line", "UTF-16BE")) >= 2 * size).select("k", shingles(F.col("line"), size).alias("set")).withColumn("m", F.size("set"))
 
     def repeats(m: Column) -> Column:  # powers of two; the same for all lines with enough shingles
         return F.least(F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.lit(float(FULL * bins)) / m)), F.lit(0))), F.lit(float(MOST_REPEATS))).cast("int")
 
-    # a line near the end of a range of lengths is thrown for the next range too, where its near copies may lie
-    levels = units.select("k", "b", "m", F.explode(F.array_distinct(F.array(repeats(F.col("m")), repeats(F.col("m") * 1.25)))).alias("level"))
-    thrown = levels.select("k", "level", "m", "b", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("level") - 1)).alias("i"))
-    # zero, but not the same for the optimizer each time: else the filter below would compute every hash once more
-    once = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
-    hashed = thrown.select("k", "level", "m", (F.col("i") % F.col("level")).alias("r"), F.xxhash64(F.expr(f"substring(b, 2 * cast(i div level as int) + 1, {2 * size})")).bitwiseXOR(once).alias("h"))
-    again = hashed.select("k", "level", "m", F.when(F.col("r") == 0, F.col("h")).otherwise(F.xxhash64("h", "r")).alias("h"))
+    # a line near the end of a range of numbers of shingles is thrown for the next range too, where its near copies may lie
+    levels = units.select("k", "set", "m", F.explode(F.array_distinct(F.array(repeats(F.col("m")), repeats(F.col("m") * 1.25)))).alias("level"))
+    hashed = levels.select("k", "level", "m", F.explode("set").alias("h"))
+    thrown = hashed.select("k", "level", "m", "h", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("r"))
+    again = thrown.select("k", "level", "m", F.when(F.col("r") == 0, F.col("h")).otherwise(F.xxhash64("h", "r")).alias("h"))
     low = F.col("h").bitwiseAND(_LOW)
     likely = again.where((F.col("level") > 1) | (low < F.lit(float((_LOW + 1) * FULL * bins)) / F.col("m")))
     least = likely.groupBy("k", "level", F.pmod(F.shiftrightunsigned("h", 40).cast("int"), F.lit(bins)).alias("bin")).agg(F.min(low).alias("v"))
@@ -67,8 +65,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> Data
     """Those of the pairs (a, b) whose shingle sets have at least this Jaccard similarity, exactly."""
     known = nodes.select("k", "line")
     both = pairs.join(known.select(F.col("k").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("k").alias("b"), F.col("line").alias("lb")), "b")
-    near = both.where(F.length("la") * 1.0 * 4 >= F.length("lb")).where(F.length("lb") * 1.0 * 4 >= F.length("la"))
-    sets = near.select("a", "b", shingles(F.col("la"), size).alias("sa"), shingles(F.col("lb"), size).alias("sb"))
+    sets = both.select("a", "b", shingles(F.col("la"), size).alias("sa"), shingles(F.col("lb"), size).alias("sb"))
     counts = sets.where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb"))).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
     return counts.where(F.col("n") >= least * (F.col("total") - F.col("n"))).select("a", "b")
 

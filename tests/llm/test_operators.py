@@ -344,6 +344,18 @@ def test_line_dedup_joins_chains_in_large_buckets(spark):
     assert {r.doc_id: r.first_id for r in line_dedup.duplicates(df, bands=1, rows=1).collect()} == {i: root(i) for i in text}
 
 
+def test_line_dedup_of_repetitive_lines(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(20):
+        word, words = f"word{i}q ", [f"{i}w{x}" for x in rng.integers(0, 10_000, 40)]
+        passage, other = " ".join(words), " ".join([*words[:20], "changed", *words[21:]])
+        rows += [(10 * i, word * 200), (10 * i + 1, word * 230), (10 * i + 2, word * 3), (10 * i + 3, f"{passage} " * 6), (10 * i + 4, f"{other} " * 6), (10 * i + 5, f"{passage} {other} " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_lines(rows)
+    assert {r.doc_id: (r.first_id, r.first_line) for r in line_dedup.duplicates(df).collect()} == {i: want[t] for i, t in rows}
+
+
 def test_line_dedup_of_documents(spark, docs):
     out = line_dedup.deduplicate(docs)
     assert out.columns == docs.columns
