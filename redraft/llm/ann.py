@@ -8,7 +8,8 @@ exceeds the query's k-th best with high confidence. Survivors are compared exact
 precision, on the original vectors.
 
 Every vector is indexed. Centres are fitted on a bounded sample (``fit_rows`` distinct vectors, those
-whose hash falls into a share of the range), which also bounds each query's k-th best distance from above before any list is read.
+whose hash falls into a share of the range). Those of them that lie in the lists a query reads bound its k-th best distance
+from above before the lists are read, and fill up what tests leave short; no vector of another list is ever a result.
 Long lists are dealt to blocks and many queries of a list to batches, so that no task holds more than
 ``block_rows`` vectors and queries.
 """
@@ -81,7 +82,7 @@ def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, columns: int, confiden
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 16384, probed: float = 0.2, least_probed: int = 24, block_rows: int = 2048, columns: int = 16, confidence: float = 2.1
+    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 16384, probed: float = 0.7, least_probed: int = 24, block_rows: int = 2048, columns: int = 16, confidence: float = 2.1
 ) -> DataFrame:
     """Each query's k nearest by cosine; queries are the rows whose id is divisible by ``every``.
 
@@ -106,40 +107,54 @@ def search(
     rotation, centres = fit(data, n_lists)
     n_lists = len(centres)
     n_probed = min(n_lists, max(least_probed, round(probed * n_lists)))
-    model = spark.sparkContext.broadcast((rotation, centres, _unit(data), sample.column(1).to_pylist()))
+    unit = _unit(data)
+    model = spark.sparkContext.broadcast((rotation, centres, unit, sample.column(1).to_pylist(), np.argmax(unit @ rotation @ centres.T, axis=1)))
+
+    def reach(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that each query (rotated) reads, and which vectors of the sample lie elsewhere."""
+        _, middle, _, _, seed_list = model.value
+        lists = np.argpartition(-(x @ middle.T), n_probed - 1, axis=1)[:, :n_probed]
+        unread = np.ones((len(x), len(middle)), bool)
+        np.put_along_axis(unread, lists, False, axis=1)
+        return lists, unread[:, seed_list]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, middle, _, _ = model.value
+        turn, middle, *_ = model.value
         for batch in batches:
             x = _unit(matrix(batch.column(1))) @ turn if len(batch) else np.zeros((0, len(turn)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(x @ middle.T, axis=1).astype(np.int32))], ["cls", "key", "ids", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, middle, seeds, _ = model.value
+        turn, _, seeds, *_ = model.value
         seeds = seeds @ turn
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
                 x = _unit(matrix(part.column(1))) @ turn
-                lists = np.argpartition(-(x @ middle.T), n_probed - 1, axis=1)[:, :n_probed]
+                lists, elsewhere = reach(x)
                 near = 2 - 2 * (x @ seeds.T)
-                # the (k + 2)-th nearest of the sample: its own class may be among them
+                near[elsewhere] = 8.0
+                # the (k + 2)-th nearest of the sample in these lists: its own class may be among them
                 bound = np.partition(near, k + 1, axis=1)[:, k + 1] if near.shape[1] > k + 1 else np.full(len(x), 8.0)
                 at = np.repeat(np.arange(len(x)), n_probed)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(lists.reshape(-1).astype(np.int32)), pa.array(bound[at] + 1e-9)], ["cls", "key", "list", "bound"])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of the sample: found already, so that no query goes short where tests or lists leave fewer."""
-        _, _, seeds, seed_ids = model.value
+        """The nearest of the sample in the lists that were read, for queries that tests leave short."""
+        turn, _, seeds, seed_ids, _ = model.value
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
                 x = _unit(matrix(part.column(1)))
                 m = min(k + 2, len(seeds))
-                close = np.argpartition(-(x @ seeds.T), m - 1, axis=1)[:, :m]
-                every_id, place = expand(seed_ids, close.reshape(-1))
-                owner = place // m
-                cosine = (seeds[close.reshape(-1)] * x[np.repeat(np.arange(len(x)), m)]).sum(axis=1)[place]
+                far = -(x @ seeds.T)
+                far[reach(x @ turn)[1]] = 8.0
+                close = np.argpartition(far, m - 1, axis=1)[:, :m]
+                asker, at = np.nonzero(np.take_along_axis(far, close, axis=1) < 8.0)
+                close = close[asker, at]
+                every_id, place = expand(seed_ids, close)
+                owner = asker[place]
+                cosine = (seeds[close] * x[asker]).sum(axis=1)[place]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(every_id), pa.array(cosine)], ["cls", "vec_id", "score"])
 
     indexed = scratch.keep(arrow_map(known, assign, "cls binary, key binary, ids array<long>, list int"), "indexed")
@@ -177,6 +192,9 @@ def search(
         return pa.table({"cls": wanted["cls"].combine_chunks().take(pa.array(np.concatenate(owners))), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     key = ["list", "block", "batch"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "cls binary, vec_id long, score double")
-    found = found.union(arrow_map(asked, start, "cls binary, vec_id long, score double")).groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
+    found = scratch.keep(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "cls binary, vec_id long, score double"), "found")
+    # one more than k: the query's own id may be among them
+    full = found.groupBy("cls").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") > k)
+    short = asked.join(full, "cls", "left_anti").select("cls", "key")
+    found = found.union(arrow_map(short, start, "cls binary, vec_id long, score double")).groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
     return ranked(found, queries.select("id", "cls").distinct(), k)

@@ -479,6 +479,25 @@ def test_neighbours(vectors):
     assert ann.search(vectors.limit(0)).count() == 0
 
 
+def test_neighbours_come_from_the_lists(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def recall(**how):
+        got = {}
+        for r in ann.search(df, **how).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert set(got) == set(range(0, 2000, 50)) and all(len(set(v)) == 5 for v in got.values())
+        return sum(len(set(np.argsort(-(u @ u[i]), kind="stable")[1:6].tolist()) & set(v)) for i, v in got.items()) / (5 * len(got))
+
+    # few vectors are no reason to compare all: one list has few of the neighbours
+    assert recall(probed=0.0, least_probed=1) < 0.5
+    # vectors without structure, five times as many as the centres are fitted on
+    assert recall(fit_rows=400) >= 0.9
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
