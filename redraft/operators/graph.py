@@ -31,7 +31,35 @@ def dangling(nodes: DataFrame, edges: DataFrame, key: str = "pair_id", node: str
 
 
 def assign(weights: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Largest total weight (whole numbers) of a one-to-one assignment, zero weights left out; shortest augmenting paths with dual prices."""
+    """Largest total weight (whole numbers) of a one-to-one assignment, zero weights left out."""
+    pairs = _pairs(_matched(weights)[0], weights)
+    return int(sum(weights[p] for p in pairs)), pairs
+
+
+def _pairs(match: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
+    """The cells of a matching that have weight."""
+    return sorted((i, j) for j, i in enumerate(match.tolist()) if i < weights.shape[0] and j < weights.shape[1] and weights[i, j] > 0)
+
+
+def solution(weights: np.ndarray) -> tuple[list[tuple[int, int]], list[bool]]:
+    """The pairs of ``assign``, and for each whether every best assignment has it.
+
+    The best assignments (filled up to a square by zero weights) are those of tight cells alone: one without a pair exists
+    if and only if the pair lies on a cycle of pairs and other tight cells.
+    """
+    match, tight = _matched(weights)
+    size = len(match)
+    column = np.empty(size, int)
+    column[match] = np.arange(size)
+    after = tight[:, column]  # from a row to the row that has one of its tight columns
+    after[np.arange(size), np.arange(size)] = False
+    cycle, pairs = _cycles(after), _pairs(match, weights)
+    alone = np.bincount(cycle, minlength=size) == 1
+    return pairs, [bool(alone[cycle[i]]) for i, _ in pairs]
+
+
+def _matched(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each column of the square of zero-filled weights, and its tight cells; shortest augmenting paths with dual prices."""
     n, m = weights.shape
     size = max(n, m)
     cost = np.zeros((size + 1, size + 1), np.int64)
@@ -49,8 +77,9 @@ def assign(weights: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
             least[better], way[better] = slack[better], j
             free = np.where(used, np.iinfo(np.int64).max, least)
             free[0] = np.iinfo(np.int64).max
-            k = int(np.argmin(free))
-            delta = least[k]
+            delta = free.min()
+            ties = np.flatnonzero(free == delta)  # among equals a column without a row ends the path
+            k = int(ties[np.argmin(match[ties] != 0)])
             u[match[used]] += delta
             v[used] -= delta
             least[~used] -= delta
@@ -59,32 +88,82 @@ def assign(weights: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
                 break
         while j:
             match[j], j = match[way[j]], way[j]
-    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if 0 < match[j] <= n and weights[match[j] - 1, j - 1] > 0]
-    return int(sum(weights[p] for p in pairs)), sorted(pairs)
+    return match[1:] - 1, (cost - u[:, None] - v == 0)[1:, 1:]
+
+
+def _parts(olds: np.ndarray, news: np.ndarray) -> list[np.ndarray]:
+    """The places of the proposals of each connected component; olds and news are numbered from 0."""
+    n = int(olds.max()) + 1
+    parent = list(range(n + int(news.max()) + 1))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(olds.tolist(), (news + n).tolist()):
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    label = np.array([root(i) for i in olds.tolist()])
+    order = np.argsort(label, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+
+
+def _cycles(after: np.ndarray) -> np.ndarray:
+    """A number for each node of a graph (after[i, j]: an edge from i to j): equal for nodes that reach each other."""
+    n = len(after)
+    seen, found, at, stack, clock = [-1] * n, np.full(n, -1), [0] * n, [], 0
+    low, edges = [0] * n, [np.flatnonzero(row).tolist() for row in after]
+    for start in range(n):
+        path = [] if seen[start] >= 0 else [start]
+        while path:
+            i = path[-1]
+            if seen[i] < 0:
+                seen[i] = low[i] = clock
+                clock += 1
+                stack.append(i)
+            if at[i] < len(edges[i]):
+                j = edges[i][at[i]]
+                at[i] += 1
+                if seen[j] < 0:
+                    path.append(j)
+                elif found[j] < 0:
+                    low[i] = min(low[i], seen[j])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[i])
+            if low[i] == seen[i]:
+                while found[i] < 0:
+                    found[stack.pop()] = i
+    return found
 
 
-def solve(proposals: DataFrame, most: int = 400) -> DataFrame:
+def solve(proposals: DataFrame, most: int | None = None) -> DataFrame:
     """(pair_id, old, new, weight, mandatory) of the best assignment of each pair of documents.
 
     ``proposals``: (pair_id, old, new, weight), whole weights. A pair is mandatory if every optimum has it: without it
-    the best total is lower. Pairs of documents with more than ``most`` proposals come back unsolved (weight null, mandatory false), never as matched.
+    the best total is lower. Each connected component of proposals is solved alone, of whatever size. With ``most``, a component of
+    more proposals comes back unsolved, never as matched: one row of its least old and new, weight null, mandatory false.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        key = int(rows.pair_id.iloc[0])
-        if len(rows) > most:
-            return pd.DataFrame([(key, None, None, None, False)], columns=["pair_id", "old", "new", "weight", "mandatory"])
-        olds, news = sorted(rows.old.unique()), sorted(rows.new.unique())
-        w = np.zeros((len(olds), len(news)), np.int64)
-        at_old, at_new = {x: i for i, x in enumerate(olds)}, {x: i for i, x in enumerate(news)}
-        for r in rows.itertuples():
-            w[at_old[r.old], at_new[r.new]] = max(w[at_old[r.old], at_new[r.new]], int(r.weight))
-        total, pairs = assign(w)
-        out = []
-        for i, j in pairs:
-            other = w.copy()
-            other[i, j] = 0
-            out.append((key, int(olds[i]), int(news[j]), int(w[i, j]), assign(other)[0] < total))
-        return pd.DataFrame(out, columns=["pair_id", "old", "new", "weight", "mandatory"])
+        key, out = int(rows.pair_id.iloc[0]), []
+        olds, at_old = np.unique(rows.old.to_numpy(), return_inverse=True)
+        news, at_new = np.unique(rows.new.to_numpy(), return_inverse=True)
+        weight = rows.weight.to_numpy().astype(np.int64)
+        for part in _parts(at_old, at_new):
+            mine, i = np.unique(at_old[part], return_inverse=True)
+            other, j = np.unique(at_new[part], return_inverse=True)
+            if most is not None and len(part) > most:
+                out.append((key, int(olds[mine[0]]), int(news[other[0]]), None, False))
+                continue
+            w = np.zeros((len(mine), len(other)), np.int64)
+            np.maximum.at(w, (i, j), weight[part])
+            pairs, must = solution(w)
+            out += [(key, int(olds[mine[a]]), int(news[other[b]]), int(w[a, b]), m) for (a, b), m in zip(pairs, must, strict=True)]
+        found = pd.DataFrame(out, columns=["pair_id", "old", "new", "weight", "mandatory"])
+        return found.astype({"weight": "Int64"})
 
     return proposals.groupBy("pair_id").applyInPandas(one, "pair_id long, old long, new long, weight long, mandatory boolean")

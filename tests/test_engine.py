@@ -158,6 +158,27 @@ def test_ties_are_not_mandatory(spark):
     assert [r.weight for r in graph.solve(rows, most=1).collect()] == [None, None]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.data())
+def test_mandatory_pairs_are_those_of_every_optimum(n, m, data):
+    w = np.array(data.draw(st.lists(st.lists(st.integers(0, 4), min_size=m, max_size=m), min_size=n, max_size=n)))
+    total, pairs = graph.assign(w)
+    found, must = graph.solution(w)
+    assert found == pairs
+    for p, mandatory in zip(pairs, must, strict=True):
+        other = w.copy()
+        other[p] = 0
+        assert mandatory == (graph.assign(other)[0] < total)
+
+
+def test_long_documents_are_solved(spark):
+    lines = [(1, i, i, 10) for i in range(450)] + [(1, 1000 + i, 1000 + j, 7) for i in range(30) for j in range(30)]
+    found = graph.solve(spark.createDataFrame(lines, "pair_id long, old long, new long, weight long")).collect()
+    assert {(r.old, r.new) for r in found if r.old < 1000} == {(i, i) for i in range(450)}
+    assert len(found) == 480 == len({r.old for r in found}) == len({r.new for r in found})
+    assert all(r.mandatory == (r.old < 1000) and r.weight == (10 if r.old < 1000 else 7) for r in found)
+
+
 def test_span_overlap(spark):
     a = spark.createDataFrame([(1, 0, 5), (1, 8, 10)], "pair_id long, start int, end int")
     b = spark.createDataFrame([(1, 3, 9), (2, 0, 1)], "pair_id long, start int, end int")
