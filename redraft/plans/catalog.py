@@ -346,14 +346,14 @@ def token_coverage(spark, sf_dir):
 l AS (SELECT *, col - lag(col) OVER (PARTITION BY pair_id, block ORDER BY col) AS step FROM g)
 SELECT pair_id, CAST(block // 40 AS INTEGER) AS page, CAST(block % 40 AS INTEGER) AS line, string_agg(CASE WHEN step > 1 THEN ' ' ELSE '' END || c, '' ORDER BY col) AS text, 72.0 + 6.0 * min(col) AS x0, 78.0 + 6.0 * max(col) AS x1, 720.0 - 12.0 * (block % 40) AS y FROM l GROUP BY pair_id, block""")
 def glyph_lines(spark, sf_dir):
-    """Lines rebuilt from the visible glyphs of rendered pages."""
+    """Lines rebuilt from the visible glyphs of rendered pages, inside a crop box of 900 columns: what lies right of it is in no line."""
     return layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, 5472.0))
 
 
 @query()
 def glyph_blocks(spark, sf_dir):
-    """Blocks of rebuilt lines, with the lines each has."""
-    found = layout.blocks(layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, 5472.0)))
+    """Blocks of rebuilt whole lines, with the lines each has."""
+    found = layout.blocks(layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, float("inf"))))
     return found.groupBy("pair_id", "page", "block").agg(F.count("*").alias("lines"), F.min("line").alias("first"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from redraft.functions import text as tx
 from redraft.operators import anchors, candidates, diff, graph, keyed, ordered, scoring
 from redraft.options import Options
+from redraft.plans import catalog
 
 TEXTS = st.text("abc ", max_size=7)
 
@@ -179,6 +180,12 @@ def test_long_documents_are_solved(spark):
     assert all(r.mandatory == (r.old < 1000) and r.weight == (10 if r.old < 1000 else 7) for r in found)
 
 
+def test_blocks_have_the_lines_of_whole_texts(spark, tmp_path):
+    text = "short\n" + " " * 950 + "beyond\n" + "x" * 2000
+    spark.createDataFrame([(7, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(r.lines for r in catalog.glyph_blocks(spark, str(tmp_path)).collect()) == 3
+
+
 def test_span_overlap(spark):
     a = spark.createDataFrame([(1, 0, 5), (1, 8, 10)], "pair_id long, start int, end int")
     b = spark.createDataFrame([(1, 3, 9), (2, 0, 1)], "pair_id long, start int, end int")
