@@ -23,10 +23,10 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is predicted with confidence, with that language; without letters they go."""
+    """Documents whose language is predicted with confidence, with that language, learned from all of them; without letters they go."""
     _small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    languages, pieces = language_id.train(docs.where(~language_id.held_out("doc_id")), model, memo=MEMO)
+    languages, pieces = language_id.train(docs, model, memo=MEMO)
     found = language_id.predict(docs, model, languages, pieces, memo=MEMO)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
     return as_columns(kept.withColumn("lang", F.col("lang_pred")), docs.columns)

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from redraft.llm import ann, components, language_id, line_dedup, packing, pii, sentencepiece_bpe, simhash, token_counts, topk, url_filter
 from redraft.llm.common import Scratch
 
@@ -107,6 +108,13 @@ def test_language_accuracy_on_held_out(spark):
     assert all(r.lang_pred == rows[r.doc_id][2] for r in found) and sum(r.held_out for r in found) > 20
 
 
+def test_pipeline_learns_every_language(spark):
+    rare = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2][:5]
+    rows = [(i, "le chat et la souris dans la maison", "fr") if i in rare else (i, "the water and the house of a thing", "en") for i in range(60)] + [(i, "le chat et la souris dans la maison", "fr") for i in rare if i >= 60]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert {r.doc_id: r.lang for r in out.collect()} == {i: lang for i, _, lang in rows}
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
