@@ -364,6 +364,49 @@ def test_line_dedup_of_repetitive_lines(spark):
     assert {r.doc_id: (r.first_id, r.first_line) for r in line_dedup.duplicates(df).collect()} == {i: want[t] for i, t in rows}
 
 
+def test_line_dedup_of_rulers_and_substituted_families(spark):
+    rng = np.random.default_rng(10)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    rows = [(i, x) for i, x in enumerate(["-" * 120, "-" * 121, "=" * 200, "=" * 260, "x" * 12, "x" * 60, "x" * 400, "ab" * 30, "ab" * 500, "\t\t"])]
+    for family in range(3):  # large groups where similarity isn't transitive
+        base = rng.choice(letters, 240)
+        for i in range(150):
+            own = base.copy()
+            for at in rng.integers(0, 240, int(rng.integers(1, 6))):
+                own[at] = rng.choice(letters)
+            rows.append((1000 * (family + 1) + i, "|" + "".join(own) + "|"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_lines(rows)
+    assert {r.doc_id: (r.first_id, r.first_line) for r in line_dedup.duplicates(df).collect()} == {i: want[t] for i, t in rows}
+
+
+def test_bit_maps_bound_the_similarity_from_above(spark):
+    rng = np.random.default_rng(11)
+    base = rng.choice(list("abcdef "), 300)
+    rows = []
+    for i in range(24):
+        own = base.copy()
+        own[rng.integers(0, 300, i // 2)] = "#"
+        rows.append((i, "".join(own) * (1 + i % 2)))
+    lines = spark.createDataFrame(rows, "k long, line string")
+    maps = line_dedup.bit_maps(lines, 9)
+    pairs = line_dedup.renamed(maps, "a").crossJoin(line_dedup.renamed(maps, "b")).where("a < b")
+    sets = {k: {t[j : j + 9] for j in range(len(t) - 8)} for k, t in rows}
+    similar = {(a, b) for a, b in itertools.combinations(range(24), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    left = {(r.a, r.b) for r in pairs.where(line_dedup.possible(0.8)).select("a", "b").collect()}
+    assert similar <= left and len(left) < 276
+    assert {(r.a, r.b) for r in line_dedup.similar(pairs.select("a", "b"), lines, 9, 0.8).collect()} == similar
+
+
+def test_line_dedup_with_names_of_its_own(spark, none):
+    names = ["_row", "_lost", "_left", "_doc", "_r", "_r2", "_new", "_text"]
+    df = spark.createDataFrame([(1, f"{LINE}\nmore", 9, *"abcdefgh"), (1, f"{LINE}\nmore", 9, *"abcdefgh"), (2, f"{LINE}.\nother", 9, *"ijklmnop"), (3, LINE, 9, *"qrstuvwx")], ["doc_id", "text", "n_chars", *names])
+    out = line_dedup.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, f"{LINE}\nmore", 9, *"abcdefgh")] * 2 + [(2, "other", 5, *"ijklmnop")]
+    assert line_dedup.deduplicate(none).count() == 0
+
+
 def test_line_dedup_of_documents(spark, docs):
     out = line_dedup.deduplicate(docs)
     assert out.columns == docs.columns
