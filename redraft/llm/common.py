@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new local one.
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    The setting is only made here where the session has none (single-machine tests).
+    Where the session names none, a new local one is made, but only for a local master; elsewhere that is an error, as
+    each machine would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="redraft-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -2,7 +2,7 @@
 
 DataFrame operations only. A round links every node's larger neighbours to the least node it
 knows (large star), then every node and its smaller neighbours to the least of them (small star);
-rounds end when the links don't change. Each step is written to the shared folder, so lineage stays
+rounds end when all links are stars. Each step is written to the shared folder, so lineage stays
 short and plain joins of written tables remain, whose hot keys (a hub with very many links) Spark
 can split. Rounds grow with the logarithm of the longest path.
 """
@@ -22,29 +22,25 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     now = scratch.keep(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("hi"), lo.alias("lo")).distinct(), "links-0")
-    mark, turn = _mark(now), 0
-    while mark[0]:
+    turn = 0
+    while not _stars(now):
         turn += 1
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("least")), f"least-{turn}")
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("least"))
         large = both.where("v > u").join(least, "u").where("v <> least").select(F.col("v").alias("hi"), F.col("least").alias("lo"))
         large = scratch.keep(large.distinct(), f"large-{turn}")
-        least_small = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("least")), f"least-small-{turn}")
+        least_small = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(least_small, "hi").select(F.explode(F.array(F.struct("hi", F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))).alias("x"))
         small = scratch.keep(small.select("x.*").where("hi <> lo").distinct(), f"links-{turn}")
-        for old in (f"links-{turn - 1}", f"least-{turn}", f"large-{turn}", f"least-small-{turn}"):
+        for old in (f"links-{turn - 1}", f"large-{turn}"):
             scratch.drop(old)
-        now, before = small, mark
-        mark = _mark(now)
-        if mark == before:
-            break
-    if not mark[0]:
-        return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+        now = small
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def _mark(links: DataFrame) -> tuple[int, int]:
-    """Number and checksum of the links."""
-    r = links.agg(F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(hi, lo))"), F.lit(0)).alias("h")).first()
-    return r.n, r.h
+def _stars(links: DataFrame) -> bool:
+    """Whether every node links to one smaller node at most and those to none: then that one is its component's least."""
+    both = links.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = both.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()

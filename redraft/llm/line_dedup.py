@@ -8,11 +8,11 @@
    lines are read: no text is shuffled for them.
 3. ``rows`` bins make a band; lines that agree in a band share a bucket. At Jaccard 0.8 a pair meets in one of
    8 bands of 3 with probability 0.997.
-4. In each bucket a leader, drawn by hash, is compared with all others. Components of these links come from distributed
-   union-find; near copies are mostly joined then, at one comparison each.
+4. In each bucket some leaders, drawn by hash, are compared with all others. Components of these links come from distributed
+   union-find; near copies are mostly joined then, at a few comparisons each.
 5. Then all pairs of a bucket that are in two components are compared, large buckets in pairs of blocks. So every pair
    that shares a bucket is either compared or joined already, and the components are those of all pairs' links.
-6. A comparison first takes the bit maps of the two sets (2,048 bits): bits of one that the other lacks are shingles that it lacks,
+6. A comparison first takes the bit maps of the two sets (4,096 bits): bits of one that the other lacks are shingles that it lacks,
    so they bound the Jaccard similarity from above, never too low. What they leave is compared exactly, as sets of shingles.
 7. Components of all links come from distributed union-find too; each keeps its first line.
 """
@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 from redraft.llm.common import Scratch
 from redraft.llm.components import components
 
-#: Throws per bin of few shingles (a bin then stays empty once in e ** 4 times), and their most repeats.
+#: Hashes per bin that a line throws, on average (a bin then stays empty once in e ** 4 times), and the most repeats of few shingles.
 FULL, MOST_REPEATS = 4, 128
-#: Hashes per bin that long lines keep, at least; shingles of a line that are looked at to see that few are repeated, and how many must differ.
-KEPT, LOOKED, DIFFER = 6, 128, 120
+#: Shingles of a long line that are looked at to see that few are repeated, and how many must differ: as many as fill the bins by themselves.
+LOOKED, DIFFER = 104, 98
 #: Shingles beyond which a long line keeps a constant share of its hashes, as far as repeated passages may make up the rest.
 REPEATED = 1000
+#: Leaders of a bucket (the same one may be drawn repeatedly).
+LEADERS = 3
 #: Members of a bucket in one block: a task compares two blocks at once.
 BLOCK = 256
 #: Numbers of 64 bits in a bit map.
-WORDS = 32
+WORDS = 64
 _LOW, _BODY = 2**40 - 1, 2**61 - 1
 
 
@@ -77,19 +79,20 @@ def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def thrown(found: Column) -> Column:
         """All throws of a set. A line near the end of a range of sizes is thrown for the next range too, where its near copies may lie."""
         levels = F.array_distinct(F.array(repeats(F.size(found)), repeats(F.size(found) * 1.25)))
+        once = F.filter(found, lambda h: h.bitwiseAND(_LOW) < F.lit(float((_LOW + 1) * FULL * bins)) / F.size(found))  # of more shingles than the bins need
 
         def level(e: Column) -> Column:
             mark = F.call_function("shiftleft", e.cast("long"), F.lit(61))
             times = F.sequence(F.lit(0), (F.pow(F.lit(2.0), e) - 1).cast("int"))
             return let(mark, lambda x: F.flatten(F.transform(times, lambda r: F.transform(found, lambda h: F.when(r == 0, h).otherwise(F.xxhash64(h, r)).bitwiseAND(_BODY).bitwiseOR(x)))))
 
-        return F.flatten(F.transform(levels, level))
+        return F.when(F.size(found) > FULL * bins, F.transform(once, lambda h: h.bitwiseAND(_BODY))).otherwise(F.flatten(F.transform(levels, level)))
 
     units = _units(lines, size)
     step = F.expr(f"m div {LOOKED}")
     looked = let(F.col("u"), lambda u: F.size(_hashes(u, F.sequence(F.lit(1), 2 * step * (LOOKED - 1) + 1, 2 * step), size)))
     # so many different ones among those looked at mean at least as many in all: such a line is in the first range of sizes for certain
-    told = units.withColumn("plain", F.when(F.col("m") >= 2 * KEPT * bins, looked >= DIFFER).otherwise(F.lit(False)))
+    told = units.withColumn("plain", F.when(F.col("m") >= max(2 * FULL * bins, LOOKED), looked >= max(FULL * bins, DIFFER)).otherwise(F.lit(False)))
     every = F.sequence(F.lit(1), 2 * F.col("m") - 1, F.lit(2))
     own = let(F.col("u"), lambda u: let(_hashes(u, every, size), thrown))
     laid = told.select("k", "m", "plain", F.when(F.col("plain"), F.col("u")).alias("u"), F.when(F.col("plain"), F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).otherwise(own).alias("all"))
@@ -97,7 +100,7 @@ def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     here = F.xxhash64(F.substr("u", (2 * F.col("x") + 1).cast("int"), F.lit(2 * size))).bitwiseAND(_BODY)
     hashed = one.select("k", "m", "plain", F.when(F.col("plain"), here).otherwise(F.col("x")).alias("h"))
     low = F.col("h").bitwiseAND(_LOW)
-    likely = hashed.where(~F.col("plain") | (low < F.lit(float((_LOW + 1) * KEPT * bins)) / F.least("m", F.lit(REPEATED))))
+    likely = hashed.where(~F.col("plain") | (low < F.lit(float((_LOW + 1) * FULL * bins)) / F.least("m", F.lit(REPEATED))))
     split = likely.select("k", F.shiftrightunsigned("h", 61).cast("int").alias("level"), F.pmod(F.shiftrightunsigned("h", 40), F.lit(bins)).cast("int").alias("bin"), F.shiftright(low, 9).cast("int").alias("v"))
     least = split.groupBy("k", "level").agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"v{j}") for j in range(bins)])
 
@@ -109,24 +112,29 @@ def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def bit_maps(lines: DataFrame, size: int) -> DataFrame:
-    """(k, m, b0, ...) of distinct lines (k, line): how many shingles begin in a line, and a bit for the hash of each."""
+    """(k, m, p, b0, ...) of distinct lines (k, line): how many shingles begin in a line, a bit for the hash of each, and how many bits are set."""
     one = _units(lines, size).select("k", "m", "u", F.explode_outer(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     hashed = one.select("k", "m", F.xxhash64(F.substr("u", 2 * F.col("x") + 1, F.lit(2 * size))).alias("h"))
     bits = hashed.select("k", "m", F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
-    return bits.groupBy("k").agg(F.max("m").alias("m"), *[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS)])
+    maps = bits.groupBy("k").agg(F.max("m").alias("m"), *[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS)])
+    return maps.withColumn("p", reduce(Column.__add__, [F.bit_count(f"b{j}") for j in range(WORDS)]))
 
 
 def renamed(maps: DataFrame, k: str) -> DataFrame:
-    """The bit maps of one side of a pair."""
-    return maps.select(F.col("k").alias(k), F.col("m").alias(f"m{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)])
+    """The bit maps of one side of a pair: columns k, mk, pk, k0, ..."""
+    return maps.select(F.col("k").alias(k), F.col("m").alias(f"m{k}"), F.col("p").alias(f"p{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)])
 
 
 def possible(least: float) -> Column:
-    """Whether the bit maps of a pair allow this similarity. They never rule out a pair that has it: x and y count bits, each of
-    one shingle at least that the other side lacks, and there are at most as many shingles as places where they begin."""
-    x, y = (reduce(Column.__add__, [F.bit_count(F.col(f"{p}{j}").bitwiseAND(F.bitwise_not(F.col(f"{q}{j}")))) for j in range(WORDS)]) for p, q in ("ab", "ba"))
-    common = F.least(F.col("ma") - x, F.col("mb") - y)
-    return common >= least * (common + x + y) - 1e-9
+    """Whether the bit maps of a pair (a, b) allow this similarity. They never rule out a pair that has it.
+
+    With c common bits, a has at least x = pa - c shingles that b lacks, b at least y = pb - c, and they have at most
+    common = min(ma - x, mb - y) in common, as a line has no more shingles than places where they begin. Asked is
+    common >= least * (common + x + y), solved for c: written so, c stands once and the generated code is small enough to be compiled.
+    """
+    c = reduce(Column.__add__, [F.bit_count(F.col(f"a{j}").bitwiseAND(F.col(f"b{j}"))) for j in range(WORDS)])
+    rest = F.least(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb"))
+    return (1 + least) * c >= least * (F.col("pa") + F.col("pb")) - (1 - least) * rest - 1e-9
 
 
 def similar(pairs: DataFrame, lines: DataFrame, size: int, least: float) -> DataFrame:
@@ -140,9 +148,11 @@ def similar(pairs: DataFrame, lines: DataFrame, size: int, least: float) -> Data
 def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int, least: float) -> DataFrame:
     """Verified links (a, b) of the lines (k, line): they join all that share a bucket and are similar."""
     buckets = scratch.keep(signatures(lines, size, bands, rows), "buckets", release=True)
-    turn = F.xxhash64("key")  # the leader is the least of its bucket in an order of the bucket's own
-    sizes = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("k").bitwiseXOR(turn)).alias("z")).where("n > 1"), "sizes", release=True)
-    members = scratch.keep(buckets.join(sizes, "key").select("key", "k", "n", F.col("z").bitwiseXOR(turn).alias("lead")), "members", release=True)
+    turns = [F.xxhash64(F.lit(i), "key") for i in range(LEADERS)]  # a leader is the least of its bucket in an order of the bucket's own
+    drawn = [F.min(F.col("k").bitwiseXOR(turn)).alias(f"z{i}") for i, turn in enumerate(turns)]
+    sizes = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1"), "sizes", release=True)
+    leaders = F.array(*[F.col(f"z{i}").bitwiseXOR(turn) for i, turn in enumerate(turns)])
+    members = scratch.keep(buckets.join(sizes, "key").select("key", "k", "n", leaders.alias("leads")), "members", release=True)
     scratch.drop("buckets")
     scratch.drop("sizes")
     # Texts are wanted of the members alone. Their hashes' low bits, of which there are at most 2 ** 20 whatever the input,
@@ -153,23 +163,24 @@ def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int,
     met = scratch.keep(likely.groupBy("k").agg(F.min("line").alias("line")).join(names, "k", "left_semi"), "met", release=True)
     scratch.drop("names")
     maps = scratch.keep(bit_maps(met, size), "maps", release=True)
-    first = members.where("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+    led = members.select("k", F.explode(F.array_distinct("leads")).alias("lead")).where("k <> lead")
+    first = led.select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
     first = first.join(renamed(maps, "a"), "a").join(renamed(maps, "b"), "b").where(possible(least)).select("a", "b")
     near = scratch.keep(similar(scratch.keep(first, "pairs-1", release=True), met, size, least), "near-1", release=True)
     scratch.drop("pairs-1")
     joined = scratch.keep(components(near, scratch), "joined")
     scratch.drop("near-1")
-    of = scratch.keep(members.join(joined, members.k == joined.node, "left").select("key", "k", "n", (F.col("k") == F.col("lead")).alias("head"), F.coalesce("component", "k").alias("c")), "labelled", release=True)
+    of = scratch.keep(members.join(joined, members.k == joined.node, "left").select("key", "k", "n", F.array_contains("leads", F.col("k")).alias("head"), F.coalesce("component", "k").alias("c")), "labelled", release=True)
     scratch.drop("members")
     several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
-    # its leader has been compared with everyone; who is joined already needs no comparison
+    # leaders have been compared with everyone; who is joined already needs no comparison
     rest = scratch.keep(of.where(~F.col("head")).join(several, "key"), "rest", release=True)
     scratch.drop("labelled")
     known = rest.join(maps, "k").withColumn("own", F.pmod(F.xxhash64("k"), last + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    dealt = scratch.keep(known.drop("n", "head").withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other"), "dealt", release=True)
-    one, two = (dealt.select("key", "p", "q", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}"), F.col("m").alias(f"m{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)]) for k in "ab")
-    pairs = one.join(two, (one.key == two.key) & (one.p == two.p) & (one.q == two.q) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("owna") != F.col("ownb")) | (one.p == one.q)) & possible(least)).select("a", "b").distinct()
+    dealt = scratch.keep(known.drop("n", "head").withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other"), "dealt", release=True)
+    one, two = (dealt.select("key", "lo", "hi", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}"), F.col("m").alias(f"m{k}"), F.col("p").alias(f"p{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)]) for k in "ab")
+    pairs = one.join(two, (one.key == two.key) & (one.lo == two.lo) & (one.hi == two.hi) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("owna") != F.col("ownb")) | (one.lo == one.hi)) & possible(least)).select("a", "b").distinct()
     found = scratch.keep(similar(scratch.keep(pairs, "pairs-2", release=True), met, size, least), "near-2", release=True)
     for done in ("rest", "dealt", "maps", "met", "pairs-2"):
         scratch.drop(done)

@@ -132,11 +132,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 
 
 def deduplicate(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, all columns; of rows that repeat that id, one.
+    """One document of each component, with all columns: the one with the smallest id.
 
-    Rows without an id can't be told apart; they stay.
+    Rows that repeat that id are told apart by their texts: of equal texts one row stays, different texts under one
+    id all stay, as they can't be told apart by id. Rows without an id stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), radius, id_col, text_col)
+    found = near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), radius, id_col, text_col)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_keep"], "left_semi")
-    return kept.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    # nested, no name of a column can clash
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_h"), F.xxhash64(F.lit(1), F.col(f"`{text_col}`")).alias("_h2"))
+    kept = rows.where(F.col("_id").isNotNull()).join(first, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id", "_h", "_h2"])
+    out = kept.union(rows.where(F.col("_id").isNull()))
+    return out.select(*[F.col("_doc").getField(n).alias(n) for n in docs.columns])
