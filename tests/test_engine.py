@@ -1,6 +1,7 @@
 """Acceptance cases on text blocks, kernels against brute force, and properties."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from redraft.functions import text as tx
+from redraft.functions.ngrams import gram_total, ngrams
 from redraft.operators import anchors, candidates, diff, graph, keyed, ordered, scoring
 from redraft.options import Options
 from redraft.plans import catalog
@@ -75,6 +77,47 @@ def test_ordered_alignment(spark, old, new, want):
     assert align(spark, old, new) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 5), st.integers(0, 5), st.data())
+def test_paths_and_their_margins_equal_a_search_of_all_paths(n, m, data):
+    scores = np.array(data.draw(st.lists(st.sampled_from([0.0, 0.2, 0.5, 0.55, 0.8, 1.0]), min_size=n * m, max_size=n * m))).reshape(n, m)
+    gap, least = -0.2, 0.5
+
+    def values(i, j):
+        """(value, matches) of every set of matches from (i, j) on."""
+        yield gap * (n - i + m - j), ()
+        for p in range(i, n):
+            for q in range(j, m):
+                if scores[p, q] >= least:
+                    for v, rest in values(p + 1, q + 1):
+                        yield gap * (p - i + q - j) + scores[p, q] + v, ((p, q), *rest)
+
+    every = list(values(0, 0))
+    path, total, others = ordered.best_path(scores, gap, least)
+    assert abs(total - max(v for v, _ in every)) < 1e-9
+    assert any(abs(v - total) < 1e-9 and list(s) == path for v, s in every)
+    for pair, other in zip(path, others, strict=True):
+        assert abs(other - max(v for v, s in every if pair not in s)) < 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab c", max_size=12), st.text("ab c", max_size=12), st.integers(1, 4))
+def test_similarities_are_multiset_dice(a, b, n):
+    def grams(t):
+        return Counter(t[i : i + n] for i in range(len(t) - n + 1)) if len(t) > n else Counter([t, *(t if len(t) > 1 else "")]) if t else Counter()
+
+    x, y = grams(a), grams(b)
+    total = sum(x.values()) + sum(y.values())
+    want = 2 * sum((x & y).values()) / total if total else 1.0
+    assert abs(ordered.similarities([a, "zz"], [b], n)[0, 0] - want) < 1e-12
+
+
+def test_ngrams_of_code_points(spark):
+    rows = spark.createDataFrame([("",), ("a",), ("ab",), ("abc",), ("a\U0001f600bé",), (None,)], "t string")
+    got = [(r.g, r.n) for r in rows.select(ngrams(F.col("t"), 3).alias("g"), gram_total(F.col("t"), 3).alias("n")).collect()]
+    assert got == [([], 0), (["a"], 1), (["ab", "a", "b"], 3), (["abc", "a", "b", "c"], 4), (["a\U0001f600b", "\U0001f600bé"], 2), (None, None)]
+
+
 def test_large_windows_are_unresolved_not_unchanged(spark):
     a = blocks(spark, [(1, i, str(i)) for i in range(5)]).withColumn("window", F.lit(0))
     assert {r.kind for r in ordered.align(a, a, most_cells=10).collect()} == {"unresolved"}
