@@ -168,13 +168,16 @@ def exact_pairs(spark, sf_dir):
     return candidates.exact(*_blocks(spark, sf_dir))
 
 
-@query(_GRAMS + """, df AS (SELECT pair_id, g, count(*) AS df FROM cn GROUP BY ALL), nb AS (SELECT pair_id, count(*) AS blocks FROM new_b GROUP BY ALL),
+#: Ranked candidates in SQL: table ranked (pair_id, old, new, score, containment, k).
+_RANKED = _GRAMS + """, df AS (SELECT pair_id, g, count(*) AS df FROM cn GROUP BY ALL), nb AS (SELECT pair_id, count(*) AS blocks FROM new_b GROUP BY ALL),
 w AS (SELECT pair_id, g, ln((blocks + 1) / (df + 1)) + 1 AS idf FROM df JOIN nb USING (pair_id)),
 wo AS (SELECT pair_id, old, sum(a * coalesce(idf, 1)) AS wo FROM co LEFT JOIN w USING (pair_id, g) GROUP BY ALL), wn AS (SELECT pair_id, new, sum(b * idf) AS wn FROM cn JOIN w USING (pair_id, g) GROUP BY ALL),
 s AS (SELECT pair_id, old, new, sum(least(a, b) * idf) AS s FROM co JOIN cn USING (pair_id, g) JOIN w USING (pair_id, g) GROUP BY ALL),
 r AS (SELECT s.pair_id, s.old, s.new, round(least(2 * s / (wo + wn), 1.0), 9) AS score, round(least(s / least(wo, wn), 1.0), 9) AS containment, CASE WHEN o.text = n.text THEN 1 ELSE 0 END AS same
-    FROM s JOIN wo USING (pair_id, old) JOIN wn USING (pair_id, new) JOIN old_b o ON o.pair_id = s.pair_id AND o.block = s.old JOIN new_b n ON n.pair_id = s.pair_id AND n.block = s.new)
-SELECT pair_id, old, new, score, containment, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, old ORDER BY same DESC, score DESC, new) AS k FROM r) WHERE k <= 32""")
+    FROM s JOIN wo USING (pair_id, old) JOIN wn USING (pair_id, new) JOIN old_b o ON o.pair_id = s.pair_id AND o.block = s.old JOIN new_b n ON n.pair_id = s.pair_id AND n.block = s.new), ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id, old ORDER BY same DESC, score DESC, new) AS k FROM r)"""
+
+
+@query(_RANKED + " SELECT pair_id, old, new, score, containment, CAST(k AS INTEGER) AS rank FROM ranked WHERE k <= 32")
 def inverted_index(spark, sf_dir):
     """The 32 best counterparts of every block by weighted n-gram overlap."""
     return candidates.inverted_index(*_blocks(spark, sf_dir), DEFAULT.ngram, DEFAULT.candidates)
@@ -193,7 +196,9 @@ def lsh_pairs(spark, sf_dir):
     return candidates.lsh(*_blocks(spark, sf_dir), DEFAULT.ngram, DEFAULT.bands, DEFAULT.band_rows)
 
 
-@query()
+@query(_RANKED + """, once_o AS (SELECT pair_id, text, min(block) AS old FROM old_b WHERE length(text) >= 1 GROUP BY ALL HAVING count(*) = 1), once_n AS (SELECT pair_id, text, min(block) AS new FROM new_b WHERE length(text) >= 1 GROUP BY ALL HAVING count(*) = 1),
+truth AS (SELECT pair_id, old, new FROM once_o JOIN once_n USING (pair_id, text)), hits AS (SELECT t.*, r.k AS place FROM truth t LEFT JOIN ranked r USING (pair_id, old, new))
+SELECT count(place) FILTER (place <= most) AS found, count(*) AS total, count(place) FILTER (place <= most) / count(*) AS recall, most AS k FROM hits, (SELECT CAST(unnest([1, 8, 32]) AS INTEGER) AS most) GROUP BY most""")
 def candidate_recall(spark, sf_dir):
     """True counterparts among the first candidates, for 1, 8 and 32."""
     old, new = _blocks(spark, sf_dir)
@@ -350,14 +355,21 @@ def glyph_lines(spark, sf_dir):
     return layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, 5472.0))
 
 
-@query()
+_WHOLE = """, ch AS (SELECT pair_id, block, CAST(unnest(range(length(raw))) AS INTEGER) AS col, unnest(string_split(raw, '')) AS c FROM old_raw WHERE length(raw) > 0), g AS (SELECT * FROM ch WHERE c <> ' ' AND c <> '' {mode}),
+l AS (SELECT *, col - lag(col) OVER (PARTITION BY pair_id, block ORDER BY col) AS step FROM g), li AS (SELECT pair_id, CAST(block // {n} AS INTEGER) AS page, CAST(block % {n} AS INTEGER) AS line, string_agg(CASE WHEN step > 1 THEN ' ' ELSE '' END || c, '' ORDER BY col) AS text, 72.0 + 6.0 * min(col) AS x0, 78.0 + 6.0 * max(col) AS x1, 720.0 - 12.0 * (block % {n}) AS y FROM l GROUP BY pair_id, block)"""
+
+
+@query(BASE + _WHOLE.format(mode="AND col % 97 <> 96", n=40) + """, f AS (SELECT *, lag(y) OVER w - y - 10 AS gap, (least(x1, lag(x1) OVER w) - greatest(x0, lag(x0) OVER w)) / least(x1 - x0, lag(x1 - x0) OVER w) AS overlap, lag(y) OVER w IS NULL AS first FROM li WINDOW w AS (PARTITION BY pair_id, page ORDER BY line)),
+k AS (SELECT *, CAST(sum(CASE WHEN NOT first AND gap <= 8 AND overlap >= 0.8 THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id, page ORDER BY line) AS INTEGER) AS block FROM f)
+SELECT pair_id, page, block, count(*) AS lines, min(line) AS "first" FROM k GROUP BY ALL""")
 def glyph_blocks(spark, sf_dir):
     """Blocks of rebuilt whole lines, with the lines each has."""
     found = layout.blocks(layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, float("inf"))))
     return found.groupBy("pair_id", "page", "block").agg(F.count("*").alias("lines"), F.min("line").alias("first"))
 
 
-@query()
+@query(BASE + _WHOLE.format(mode="", n=4) + """, e AS (SELECT *, CASE WHEN line = min(line) OVER w THEN 'header' WHEN line = max(line) OVER w THEN 'footer' END AS edge FROM li WINDOW w AS (PARTITION BY pair_id, page))
+SELECT pair_id, edge, regexp_replace(text, '[0-9]+', '#', 'g') AS signature, count(DISTINCT page) AS pages FROM e WHERE edge IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page) >= 3""")
 def repeated_edges(spark, sf_dir):
     """Headers and footers that repeat over a document's pages."""
     return layout.repeated_edges(layout.lines(layout.render(revisions(spark, sf_dir)[0], 4)))
@@ -432,7 +444,14 @@ def order_edges(spark, sf_dir):
     return old.select("pair_id", F.col("block").alias("src"), F.lead("block").over(Window.partitionBy("pair_id").orderBy("block")).alias("dst"), F.lit("Precedes").alias("kind")).where("dst is not null")
 
 
-@query()
+def _word_runs(text: str, name: str) -> str:
+    words = f"SELECT doc_id AS pair_id, list_filter(regexp_split_to_array({text}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM rev"
+    runs = f"SELECT pair_id, pos, array_to_string(w[pos + 1 : pos + 8], ' ') AS gram FROM (SELECT pair_id, w, unnest(range(len(w) - 7)) AS pos FROM ({words}))"
+    return f"SELECT pair_id, gram, min(pos) AS {name} FROM ({runs}) GROUP BY ALL HAVING count(*) = 1"
+
+
+@query(BASE + f""", a AS ({_word_runs('text', 'a')}), b AS ({_word_runs('revised', 'b')}), j AS (SELECT pair_id, a, b, a - b AS diagonal, a - row_number() OVER (PARTITION BY pair_id, a - b ORDER BY a) AS run FROM a JOIN b USING (pair_id, gram))
+SELECT pair_id, CAST(min(a) AS INTEGER) AS old_from, CAST(min(b) AS INTEGER) AS new_from, count(*) + 7 AS length FROM j GROUP BY pair_id, diagonal, run""")
 def page_anchors(spark, sf_dir):
     """Passages of at least eight words that stand once on each side."""
     docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -517,7 +536,8 @@ def brackets(spark, sf_dir):
     return scoring.brackets(old, anchors.unique_pairs(old, new, DEFAULT.anchor_tokens))
 
 
-@query()
+@query(_RANKED + """, best AS (SELECT pair_id, old, new AS best FROM ranked WHERE k = 1), near AS (SELECT r.pair_id, r.old, r.new, row_number() OVER (PARTITION BY r.pair_id, r.old ORDER BY abs(r.new - best), containment DESC, r.new) AS place FROM ranked r JOIN best USING (pair_id, old) WHERE k > 6)
+SELECT pair_id, old, new FROM ranked WHERE k <= 6 UNION ALL SELECT pair_id, old, new FROM near WHERE place <= 2""")
 def local_candidates(spark, sf_dir):
     """Candidates with a quarter of the places kept for neighbours of the best."""
     return candidates.local_quota(candidates.inverted_index(*_blocks(spark, sf_dir), DEFAULT.ngram, 1 << 30), 8)
