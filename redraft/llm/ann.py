@@ -8,8 +8,9 @@ exceeds the query's k-th best with high confidence. Survivors are compared exact
 precision, on the original vectors.
 
 Every vector is indexed. Centres are fitted on a bounded sample (``fit_rows`` distinct vectors, those
-whose hash falls into a share of the range). Those of them that lie in the lists a query reads bound its k-th best distance
-from above before the lists are read, and fill up what tests leave short; no vector of another list is ever a result.
+whose hash falls into a share of the range). Lists are read in two turns, so that the threshold of the tests adapts: the nearest ones first,
+with a first bound from the sample's vectors in the lists that the query reads; what they give bounds the k-th best distance
+for the others. Results come from lists alone, never from the sample. A query whose first turn gives too few reads all its lists without tests.
 Long lists are dealt to blocks and many queries of a list to batches, so that no task holds more than
 ``block_rows`` vectors and queries.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redraft.llm.common import Scratch, arrow_map
@@ -82,7 +83,7 @@ def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, columns: int, confiden
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 16384, probed: float = 0.7, least_probed: int = 24, block_rows: int = 2048, columns: int = 16, confidence: float = 2.1
+    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 16384, probed: float = 0.7, least_probed: int = 24, first_turn: float = 0.2, block_rows: int = 2048, columns: int = 16, confidence: float = 2.1
 ) -> DataFrame:
     """Each query's k nearest by cosine; queries are the rows whose id is divisible by ``every``.
 
@@ -90,7 +91,7 @@ def search(
     id. Null ids and vectors that are null, zero, of another dimension or hold null or non-finite components take no part. Rows that repeat
     an id and its vector count once; a query's own id is no candidate. Fewer candidates than k give fewer rows, an
     empty table none. ``probed`` is the share of lists that a query reads, ``least_probed`` their
-    least number.
+    least number, ``first_turn`` the share of these that it reads first.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -103,17 +104,18 @@ def search(
     if sample.num_rows == 0:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     data = matrix(sample.column(0))
-    n_lists = int(min(1024, max(1, 2 * n**0.5)))
+    n_lists = int(min(max(1, 2 * n**0.5), max(1, len(data) // 4)))
     rotation, centres = fit(data, n_lists)
     n_lists = len(centres)
     n_probed = min(n_lists, max(least_probed, round(probed * n_lists)))
     unit = _unit(data)
-    model = spark.sparkContext.broadcast((rotation, centres, unit, sample.column(1).to_pylist(), np.argmax(unit @ rotation @ centres.T, axis=1)))
+    n_first = max(1, round(first_turn * n_probed))
+    model = spark.sparkContext.broadcast((rotation, centres, unit, np.argmax(unit @ rotation @ centres.T, axis=1)))
 
     def reach(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists that each query (rotated) reads, and which vectors of the sample lie elsewhere."""
-        _, middle, _, _, seed_list = model.value
-        lists = np.argpartition(-(x @ middle.T), n_probed - 1, axis=1)[:, :n_probed]
+        """The lists that each query (rotated) reads, nearest first, and which vectors of the sample lie elsewhere."""
+        _, middle, _, seed_list = model.value
+        lists = np.argsort(-(x @ middle.T), axis=1, kind="stable")[:, :n_probed]
         unread = np.ones((len(x), len(middle)), bool)
         np.put_along_axis(unread, lists, False, axis=1)
         return lists, unread[:, seed_list]
@@ -125,7 +127,7 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(x @ middle.T, axis=1).astype(np.int32))], ["cls", "key", "ids", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, _, seeds, *_ = model.value
+        turn, _, seeds, _ = model.value
         seeds = seeds @ turn
         for batch in batches:
             for a in range(0, len(batch), 1024):
@@ -137,29 +139,11 @@ def search(
                 # the (k + 2)-th nearest of the sample in these lists: its own class may be among them
                 bound = np.partition(near, k + 1, axis=1)[:, k + 1] if near.shape[1] > k + 1 else np.full(len(x), 8.0)
                 at = np.repeat(np.arange(len(x)), n_probed)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(lists.reshape(-1).astype(np.int32)), pa.array(bound[at] + 1e-9)], ["cls", "key", "list", "bound"])
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of the sample in the lists that were read, for queries that tests leave short."""
-        turn, _, seeds, seed_ids, _ = model.value
-        for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
-                x = _unit(matrix(part.column(1)))
-                m = min(k + 2, len(seeds))
-                far = -(x @ seeds.T)
-                far[reach(x @ turn)[1]] = 8.0
-                close = np.argpartition(far, m - 1, axis=1)[:, :m]
-                asker, at = np.nonzero(np.take_along_axis(far, close, axis=1) < 8.0)
-                close = close[asker, at]
-                every_id, place = expand(seed_ids, close)
-                owner = asker[place]
-                cosine = (seeds[close] * x[asker]).sum(axis=1)[place]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(every_id), pa.array(cosine)], ["cls", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(lists.reshape(-1).astype(np.int32)), pa.array(np.tile(np.arange(n_probed) < n_first, len(x))), pa.array(bound[at] + 1e-9)], ["cls", "key", "list", "first", "bound"])
 
     indexed = scratch.keep(arrow_map(known, assign, "cls binary, key binary, ids array<long>, list int"), "indexed")
     asked = queries.groupBy("cls").agg(F.first("key").alias("key"))
-    probes = scratch.keep(arrow_map(asked, probe, "cls binary, key binary, list int, bound double"), "probes")
+    probes = scratch.keep(arrow_map(asked, probe, "cls binary, key binary, list int, first boolean, bound double"), "probes")
     # at most one number per list: how many blocks of vectors and batches of queries it has
     blocks, batches_of = ({r.list: -(-r["count"] // block_rows) for r in x.groupBy("list").count().collect()} for x in (indexed, probes))
 
@@ -168,7 +152,6 @@ def search(
 
     salt = F.xxhash64("cls")
     left = indexed.select("*", F.pmod(salt, parts(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), (parts(batches_of) - 1).cast("int"))).alias("batch"))
-    right = probes.select("*", F.explode(F.sequence(F.lit(0), (parts(blocks) - 1).cast("int"))).alias("block"), F.pmod(salt, parts(batches_of)).cast("int").alias("batch"))
 
     def compare(near: pa.Table, wanted: pa.Table) -> pa.Table:
         empty = pa.table({"cls": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -192,9 +175,16 @@ def search(
         return pa.table({"cls": wanted["cls"].combine_chunks().take(pa.array(np.concatenate(owners))), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     key = ["list", "block", "batch"]
-    found = scratch.keep(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "cls binary, vec_id long, score double"), "found")
+
+    def read(which: DataFrame, name: str) -> DataFrame:
+        right = which.select("*", F.explode(F.sequence(F.lit(0), (parts(blocks) - 1).cast("int"))).alias("block"), F.pmod(salt, parts(batches_of)).cast("int").alias("batch"))
+        return scratch.keep(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "cls binary, vec_id long, score double"), name)
+
+    near = read(probes.where("first").drop("first"), "near")
     # one more than k: the query's own id may be among them
-    full = found.groupBy("cls").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") > k)
-    short = asked.join(full, "cls", "left_anti").select("cls", "key")
-    found = found.union(arrow_map(short, start, "cls binary, vec_id long, score double")).groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))
+    known_best = near.withColumn("_r", place).where(F.col("_r") == k + 1).select("cls", (2 - 2 * F.col("score") + 1e-9).alias("best"))
+    later = probes.join(known_best, "cls", "left").where("not first or best is null")
+    far = read(later.select("cls", "key", "list", F.when(F.col("best").isNull(), 8.0).otherwise(F.least("bound", "best")).alias("bound")), "far")
+    found = near.union(far).groupBy("cls", "vec_id").agg(F.max("score").alias("score"))
     return ranked(found, queries.select("id", "cls").distinct(), k)

@@ -567,6 +567,22 @@ def slow_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+def test_recall_beyond_the_fitted_sample(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 24))  # alike in all directions, the hardest case
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(80), np.arange(0, 4000, 50)] = -9
+    want = np.argsort(-near, axis=1)[:, :5]
+    got = {}
+    for r in ann.search(df, fit_rows=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - near[r.query_id // 50, r.vec_id]) < 1e-12
+    assert all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[50 * i] & set(w.tolist())) / 5 for i, w in enumerate(want)]) >= 0.9
+
+
 def test_url_filter(spark):
     rng = np.random.default_rng(12)
     urls = [f"http://{rng.choice(['a', 'b', 'Www'])}.example.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['fr', 'de', 'en', 'es'])}/{i}{rng.choice(['', '?q=1', '#x', '/'])}" for i in range(600)]
