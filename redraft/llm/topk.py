@@ -4,7 +4,8 @@ A vector is cut into segments; each keeps its mean and deviation. From those alo
 of length L, an inner product is at most the sum of L * (mean * mean' + deviation * deviation'),
 which is the same bound as one on the distance from below. Bounds are taken coarse to fine (few long
 segments, then more short ones); what a bound leaves in reach of the query's k-th best
-score is compared exactly. The result is exact whatever the bounds prune.
+score is compared exactly. The result is exact whatever the bounds prune. That depends on the vectors: where all dimensions
+vary alike and apart, as noise does, only segments of a few dimensions tell much, so the last level has many.
 
 All rows are compared with the stated queries in blocks: no task holds more than ``block_rows`` vectors
 and ``batch_rows`` queries, and equal vectors are compared once.
@@ -76,7 +77,7 @@ def reached(x: np.ndarray, q: np.ndarray, least: np.ndarray, levels: tuple[int,
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", levels: tuple[int, ...] = (1, 4, 16), block_rows: int = 16384, batch_rows: int = 8192, seed_rows: int = 8192
+    vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", levels: tuple[int, ...] = (1, 4, 16, 32), block_rows: int = 16384, batch_rows: int = 8192, seed_rows: int = 8192
 ) -> DataFrame:
     """Each query's k largest integer inner products; queries are the rows whose id is divisible by ``every``.
 
