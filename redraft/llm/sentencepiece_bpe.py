@@ -14,7 +14,8 @@ become their UTF-8 byte pieces. Three exact facts keep that fast:
 
 The sentencepiece library checks the results batch by batch (``verify``): "all" encodes
 every whole text again and compares all ids; "chunks" compares every chunk when it is first
-met. Its ``decode`` gives the decoded text.
+met, and holds every whole text against the library's decoding of its ids: a text that doesn't come back
+exactly is encoded whole by the library, whose ids must be the same. Its ``decode`` gives the decoded text.
 """
 
 from __future__ import annotations
@@ -215,6 +216,11 @@ def encode_decode(
                         for own, want in zip(ids, model.library.encode(rows.column(1).slice(at, 256).to_pylist(), num_threads=1), strict=True):
                             _same(own[1:-1], want)
                     decoded = [model.library.decode(x) for x in ids]
+                    if verify == "chunks":
+                        given = rows.column(1).slice(at, 256).to_pylist()
+                        odd = [i for i, (t, d) in enumerate(zip(given, decoded, strict=True)) if t != d]
+                        for i, want in zip(odd, model.library.encode([given[i] for i in odd], num_threads=1), strict=True):
+                            _same(ids[i][1:-1], want)
                     n.extend(map(len, ids))
                     text_sha.extend(hashlib.sha256(d.encode()).hexdigest() for d in decoded)
                     if keep:
