@@ -18,7 +18,7 @@ BATCH_ROWS = 1000
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, for the rest of the session; results don't depend on it."""
+    """Bounds what a Python worker holds at once; results don't depend on it. ``run`` restores the setting; who calls a stage alone keeps it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -44,10 +44,12 @@ def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with the kind in place of personal data, and their new lengths."""
-    found = Scratch(spark, "pii").keep(pii.with_candidates(docs, "text", "_spans"), "candidates")
-    out = pii.masked(pii.decided(found, "_spans"), "text", "_spans")
-    return as_columns(out.withColumn("n_chars", F.length("text").cast("long")), docs.columns)
+    """Texts with the kind in place of personal data, and their new lengths; other columns may have any name."""
+    nested = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col("text"))
+    found = Scratch(spark, "pii").keep(pii.with_candidates(nested, "text", "spans"), "candidates")
+    out = pii.masked(pii.decided(found, "spans"), "text", "spans")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(n, F.col("doc").getField(n)).alias(n) for n in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,13 +66,25 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage's decisions can be expressed in SQL; the tests hold each against a brute-force version.
+#: SQL can't express the stages (models, MinHash, tokenizers); tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    Null and empty texts hold no letter, so they go in the first stage; repeated rows stay until the near-duplicate stage, which keeps
+    one of equal texts. An empty table gives an empty result.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    setting, last = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    before = spark.conf.get(setting)
+    try:
+        for name, stage in STAGES:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+            if last:
+                scratch.drop(last)
+            last = name
+    finally:
+        spark.conf.set(setting, before)
     return docs
