@@ -12,7 +12,7 @@
    union-find; near copies are mostly joined then, at a few comparisons each.
 5. Then all pairs of a bucket that are in two components are compared, large buckets in pairs of blocks. So every pair
    that shares a bucket is either compared or joined already, and the components are those of all pairs' links.
-6. A comparison first takes the bit maps of the two sets (4,096 bits): bits of one that the other lacks are shingles that it lacks,
+6. A comparison first takes the bit maps of the two sets (3,072 bits): bits of one that the other lacks are shingles that it lacks,
    so they bound the Jaccard similarity from above, never too low. What they leave is compared exactly, as sets of shingles.
 7. Components of all links come from distributed union-find too; each keeps its first line.
 """
@@ -39,7 +39,7 @@ LEADERS = 3
 #: Members of a bucket in one block: a task compares two blocks at once.
 BLOCK = 256
 #: Numbers of 64 bits in a bit map.
-WORDS = 64
+WORDS = 48
 _LOW, _BODY = 2**40 - 1, 2**61 - 1
 
 
@@ -177,10 +177,12 @@ def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int,
     # leaders have been compared with everyone; who is joined already needs no comparison
     rest = scratch.keep(of.where(~F.col("head")).join(several, "key"), "rest", release=True)
     scratch.drop("labelled")
-    known = rest.join(maps, "k").withColumn("own", F.pmod(F.xxhash64("k"), last + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    # a pair that shares several buckets is compared in the one of the least key alone
+    keys = rest.groupBy("k").agg(F.collect_list("key").alias("keys"))
+    known = rest.join(maps, "k").join(keys, "k").withColumn("own", F.pmod(F.xxhash64("k"), last + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = scratch.keep(known.drop("n", "head").withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other"), "dealt", release=True)
-    one, two = (dealt.select("key", "lo", "hi", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}"), F.col("m").alias(f"m{k}"), F.col("p").alias(f"p{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)]) for k in "ab")
-    pairs = one.join(two, (one.key == two.key) & (one.lo == two.lo) & (one.hi == two.hi) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("owna") != F.col("ownb")) | (one.lo == one.hi)) & possible(least)).select("a", "b").distinct()
+    one, two = (dealt.select("key", "lo", "hi", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}"), F.col("keys").alias(f"keys{k}"), F.col("m").alias(f"m{k}"), F.col("p").alias(f"p{k}"), *[F.col(f"b{j}").alias(f"{k}{j}") for j in range(WORDS)]) for k in "ab")
+    pairs = one.join(two, (one.key == two.key) & (one.lo == two.lo) & (one.hi == two.hi) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((F.col("owna") != F.col("ownb")) | (one.lo == one.hi)) & possible(least) & (F.array_min(F.array_intersect("keysa", "keysb")) == one.key)).select("a", "b").distinct()
     found = scratch.keep(similar(scratch.keep(pairs, "pairs-2", release=True), met, size, least), "near-2", release=True)
     for done in ("rest", "dealt", "maps", "met", "pairs-2"):
         scratch.drop(done)
