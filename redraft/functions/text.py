@@ -71,11 +71,8 @@ def has_cjk(c: Column) -> Column:
 def escape(c: Column) -> Column:
     """Control and bidirectional characters made visible, so that no terminal obeys them."""
     marks = [*range(0x00, 0x20), 0x7F, *range(0x80, 0xA0), 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A)]
-    return F.aggregate(
-        F.regexp_extract_all(c, F.lit(r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]|[^\x{0}-\x{1f}\x{7f}-\x{9f}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]+"), F.lit(0)),
-        F.lit(""),
-        lambda a, x: F.concat(a, F.when((F.length(x) == 1) & F.ascii(x).isin(*marks), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(x))), F.lit("}"))).otherwise(x)),
-    )
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]|[^\x{0}-\x{1f}\x{7f}-\x{9f}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when((F.length(x) == 1) & F.ascii(x).isin(*marks), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(x))), F.lit("}"))).otherwise(x)), "")
 
 
 @F.pandas_udf(StringType())

@@ -73,18 +73,37 @@ def count_witness(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.where((F.col("ro") > F.col("pn")) | (F.col("rn") > F.col("po"))).groupBy(*keys).agg(F.count("*").alias("witnesses"))
 
 
-def span_overlap(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., both, either, iou): tokens in common of two tables of disjoint spans [start, end), and in either."""
-    def size(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))
+def _sweep(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., a, b, both): tokens in the union of each side's spans, and in both; one sort of all ends instead of a join of spans."""
+    sides = [side.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"), F.lit(n).alias("side")) for n, side in enumerate((actual, expected))]
+    ends = sides[0].union(sides[1]).groupBy(*keys, F.col("e.at").alias("at")).agg(*[F.sum(F.when(F.col("side") == n, F.col("e.d")).otherwise(0)).alias(f"d{n}") for n in (0, 1)])
+    order = Window.partitionBy(*keys).orderBy("at")
+    steps = ends.select(*keys, (F.lead("at").over(order) - F.col("at")).alias("n"), *[(F.sum(f"d{n}").over(order) > 0).alias(f"in{n}") for n in (0, 1)])
+    return steps.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("a", F.col("in0")), ("b", F.col("in1")), ("both", F.col("in0") & F.col("in1")))])
+
 
-    met = actual.join(expected.select(*keys, F.col("start").alias("s"), F.col("end").alias("e")), keys).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
-    common = met.groupBy(*keys).agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("both"))
-    out = size(actual, "a").join(size(expected, "b"), keys, "full_outer").join(common, keys, "left").na.fill(0)
+def span_overlap(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., both, either, iou): tokens in common of two tables of spans [start, end), and in either."""
+    out = _sweep(actual, expected, keys)
     either = F.col("a") + F.col("b") - F.col("both")
     return out.select(*keys, "both", either.alias("either"), F.when(either > 0, F.col("both") / either).alias("iou"))
 
 
+def token_metrics(actual: DataFrame, expected: DataFrame, totals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(by..., tp, fp, fn, precision, recall, unchanged, fp_per_10k): changed tokens reported against those expected.
+
+    Inputs are spans [start, end) by keys, and (keys..., by..., total) tokens. Counts are summed before any ratio; precision and recall over nothing are 1, the rate over nothing 0.
+    """
+    met = totals.join(_sweep(actual, expected, keys), keys, "left").na.fill(0, ["a", "b", "both"])
+    out = met.groupBy(*by).agg(F.sum("both").alias("tp"), F.sum(F.col("a") - F.col("both")).alias("fp"), F.sum(F.col("b") - F.col("both")).alias("fn"), F.sum(F.col("total") - F.col("b")).alias("unchanged"))
+
+    def share(whole: Column) -> Column:
+        return F.when(whole > 0, F.col("tp") / whole).otherwise(1.0)
+
+    rate = F.when(F.col("unchanged") > 0, 10000 * F.col("fp") / F.col("unchanged")).otherwise(0.0)
+    return out.select(*by, "tp", "fp", "fn", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp") + F.col("fn")).alias("recall"), "unchanged", rate.alias("fp_per_10k"))
+
+
 def preflight(work: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:
     """Adds ``spent`` (running cost within a document, this row included) and ``incomplete``: rows at and after the first that goes beyond the budget."""
     w = Window.partitionBy("pair_id").orderBy(*order)
@@ -102,3 +121,17 @@ def brackets(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     marked = blocks.select("pair_id", "block").join(anchors.select("pair_id", F.col("old").alias("block"), F.col("old").alias("_a")), ["pair_id", "block"], "left")
     w = Window.partitionBy("pair_id").orderBy("block")
     return marked.select("pair_id", "block", F.last("_a", ignorenulls=True).over(w).alias("before"), F.first("_a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+
+
+def quality(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., documents, expected, detected, false_alarms, right_kind, recall, kind_accuracy) of rows with the Booleans expected, detected and right_kind; a ratio over nothing is null."""
+    hit = F.col("expected") & F.col("detected")
+    sums = rows.groupBy(*by).agg(F.count("*").alias("documents"), F.count_if("expected").alias("expected"), F.count_if(hit).alias("detected"), F.count_if(~F.col("expected") & F.col("detected")).alias("false_alarms"), F.count_if(hit & F.col("right_kind")).alias("right_kind"))
+    return sums.withColumn("recall", F.when(F.col("expected") > 0, F.col("detected") / F.col("expected"))).withColumn("kind_accuracy", F.when(F.col("detected") > 0, F.col("right_kind") / F.col("detected")))
+
+
+def retained(rows: DataFrame, text: str, most: int, source: Column) -> DataFrame:
+    """Replaces a text by ``kept``, its first ``most`` code points, ``omitted``, the number left out, and ``expand``, the range of ``source`` that holds them (null without any)."""
+    n = F.length(text).cast("long")
+    expand = F.when(n > most, F.concat(source, F.lit(f"#{most}-"), n))
+    return rows.select(*[c for c in rows.columns if c != text], F.substring(text, 1, most).alias("kept"), F.greatest(n - most, F.lit(0)).cast("long").alias("omitted"), expand.alias("expand"))

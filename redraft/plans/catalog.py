@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redraft.functions import text as tx
-from redraft.operators import anchors, candidates, diff, graph, keyed, layout, ordered, scoring
+from redraft.operators import anchors, candidates, diff, graph, keyed, layout, ordered, scoring, sourcemap
 from redraft.options import DEFAULT
 from redraft.sources.revisions import MUTATIONS, mutate, read, revisions
 
@@ -541,3 +541,141 @@ SELECT pair_id, old, new FROM ranked WHERE k <= 6 UNION ALL SELECT pair_id, old,
 def local_candidates(spark, sf_dir):
     """Candidates with a quarter of the places kept for neighbours of the best."""
     return candidates.local_quota(candidates.inverted_index(*_blocks(spark, sf_dir), DEFAULT.ngram, 1 << 30), 8)
+
+
+#: A print form of the old blocks, with ligatures and wide blanks: tables pr (pair_id, block, raw, text) and pc, its characters with their canonical places [c0, c1).
+_PRINT = BASE + f""", pq AS (SELECT pair_id, block, replace(replace(raw, 'fi', 'ﬁ'), '. ', '.  ') AS raw FROM old_raw), pr AS (SELECT *, {_CANONICAL} AS text FROM pq),
+px AS (SELECT pair_id, block, unnest(range(length(raw))) AS i, unnest(string_split(raw, '')) AS c FROM pr WHERE length(raw) > 0),
+py AS (SELECT *, regexp_matches(c, '^{BLANK_CLASS}$') AS blank FROM px), pz AS (SELECT *, CASE WHEN blank AND coalesce(lag(blank) OVER (PARTITION BY pair_id, block ORDER BY i), false) THEN 0 WHEN c IN ('ﬃ', 'ﬄ') THEN 3 WHEN c IN ('ﬀ', 'ﬁ', 'ﬂ', 'ﬅ', 'ﬆ') THEN 2 ELSE 1 END AS n FROM py),
+pc AS (SELECT *, sum(n) OVER w - n AS c0, sum(n) OVER w AS c1 FROM pz WINDOW w AS (PARTITION BY pair_id, block ORDER BY i ROWS UNBOUNDED PRECEDING))"""
+
+
+def _print(spark, sf_dir):
+    old, _ = revisions(spark, sf_dir)
+    return old.withColumn("raw", F.replace(F.replace("raw", F.lit("fi"), F.lit("ﬁ")), F.lit(". "), F.lit(".  ")))
+
+
+@query(_PRINT + """, g AS (SELECT *, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, block ORDER BY i ROWS UNBOUNDED PRECEDING) AS piece FROM pc),
+e AS (SELECT pair_id, block, CAST(min(i) AS BIGINT) AS raw_start, CAST(max(i) + 1 AS BIGINT) AS raw_end, CAST(min(c0) AS BIGINT) AS "start", CAST(max(c1) AS BIGINT) AS "end", CASE WHEN bool_or(blank) THEN 'blank' ELSE 'ligature' END AS kind, string_agg(c, '' ORDER BY i) AS raw FROM g GROUP BY pair_id, block, piece)
+SELECT pair_id, block, raw_start, raw_end, "start", "end", kind FROM e WHERE (kind = 'blank' AND raw <> ' ') OR "end" - "start" > 1""")
+def source_map(spark, sf_dir):
+    """Pieces of printed blocks that the canonical text changes, with their places on both sides."""
+    return sourcemap.events(_print(spark, sf_dir))
+
+
+@query(_PRINT + """, r AS (SELECT pair_id, block, CAST(instr(text, 'i') - 1 AS BIGINT) AS "start", CAST(length(text) AS BIGINT) AS "end" FROM pr WHERE instr(text, 'i') > 0)
+SELECT pair_id, block, "start", "end", CAST(min(i) FILTER (c1 > "start") AS BIGINT) AS raw_start, CAST(max(i + 1) FILTER (c0 < "end" OR c1 <= "end") AS BIGINT) AS raw_end,
+    CASE WHEN bool_or((c0 < "start" AND "start" < c1) OR (c0 < "end" AND "end" < c1)) THEN 'WithinSource' ELSE 'Exact' END AS precision FROM r JOIN pc USING (pair_id, block) GROUP BY ALL""")
+def projected_ranges(spark, sf_dir):
+    """Each block's canonical range from its first i on, taken back to the printed text."""
+    blocks = _print(spark, sf_dir)
+    text = tx.canonical(F.col("raw"))
+    ranges = blocks.select("pair_id", "block", (F.instr(text, "i") - 1).cast("long").alias("start"), F.length(text).cast("long").alias("end")).where("start >= 0")
+    return sourcemap.project(ranges, sourcemap.events(blocks))
+
+
+@query(BASE + """, ch AS (SELECT pair_id, block, unnest(range(length(raw))) AS col, unnest(string_split(raw, '')) AS c FROM old_raw WHERE length(raw) > 0), g AS (SELECT * FROM ch WHERE c <> ' ' AND c <> '' AND col % 97 <> 96),
+l AS (SELECT *, col - lag(col) OVER (PARTITION BY pair_id, block ORDER BY col) AS step FROM g), t AS (SELECT pair_id, block, block // 40 AS page, string_agg(CASE WHEN step > 1 THEN ' ' ELSE '' END || c, '' ORDER BY col) AS text, 72.0 + 6.0 * min(col) AS x0, 78.0 + 6.0 * max(col) AS x1 FROM l GROUP BY ALL)
+SELECT pair_id, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY pair_id, page ORDER BY block) - 1 AS INTEGER) AS line, text, x0, x1 FROM t""")
+def baseline_lines(spark, sf_dir):
+    """Whole lines rebuilt from the places of glyphs alone; every fifth glyph stands half a point high."""
+    glyphs = layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, float("inf")).drop("line")
+    uneven = glyphs.withColumn("y", F.col("y") + F.when(F.col("id") % 5 == 0, 0.5).otherwise(0.0))
+    return layout.lines(layout.baselines(uneven)).drop("y")
+
+
+@query(BASE + _WHOLE.format(mode="AND col % 97 <> 96", n=40) + """, r AS (SELECT pair_id, page, line AS upper, lead(line) OVER w AS lower, abs(x0 - lead(x0) OVER w) <= 0.5 AS aligned FROM li WINDOW w AS (PARTITION BY pair_id, page ORDER BY line))
+SELECT * FROM r WHERE lower IS NOT NULL""")
+def row_relations(spark, sf_dir):
+    """Each line with the next below it on its page, and whether their left sides meet."""
+    return layout.row_relations(layout.lines(layout.visible(layout.render(revisions(spark, sf_dir)[0]), 0.0, float("inf"))))
+
+
+@query(BASE + rf""", n AS (SELECT pair_id, block, raw AS a, lead(raw) OVER (PARTITION BY pair_id ORDER BY block) AS b FROM old_raw), c AS (
+SELECT pair_id, block, CASE WHEN regexp_matches(a, '\x{{ad}}$') AND length(b) > 0 THEN left(a, length(a) - 1) || b
+    WHEN regexp_matches(a, '(?:{_W}|{_C})[-\x{{2010}}]$') AND regexp_matches(b, '^(?:{_W}|{_C})') THEN a || b
+    WHEN regexp_matches(a, '[0-9]$') AND regexp_matches(b, '^[0-9]') THEN a || ' ' || b
+    WHEN regexp_matches(a, '\s$') OR regexp_matches(b, '^\s') OR (regexp_matches(a, '{_C}$') AND regexp_matches(b, '^(?:{_C}|{_W})')) OR (regexp_matches(a, '{_W}$') AND regexp_matches(b, '^{_C}')) THEN a || b
+    WHEN regexp_matches(a, '(?:{_W}|“\w+”)$') AND regexp_matches(b, '^{_W}') THEN a || ' ' || b ELSE a || chr(10) || b END AS joined FROM n WHERE b IS NOT NULL)
+SELECT pair_id, block, length(joined) AS chars, md5(joined) AS digest FROM c""")
+def joined_lines(spark, sf_dir):
+    """Each line joined with the next by the case of their break: length and digest of the text."""
+    old, _ = revisions(spark, sf_dir)
+    after = old.withColumn("after", F.lead("raw").over(Window.partitionBy("pair_id").orderBy("block"))).where("after is not null")
+    joined = tx.joined_lines(F.col("raw"), F.col("after"))
+    return after.select("pair_id", "block", F.length(joined).cast("long").alias("chars"), F.md5(joined.cast("binary")).alias("digest"))
+
+
+@query("""WITH e AS (SELECT page_id, array_to_string(list_transform(string_split(html, ''), lambda c: CASE WHEN unicode(c) BETWEEN 0 AND 31 OR unicode(c) BETWEEN 127 AND 159 OR unicode(c) IN (8206, 8207) OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8294 AND 8297
+    THEN '\\u{' || printf('%x', unicode(c)) || '}' ELSE c END), '') AS t FROM pages) SELECT page_id, length(t) AS chars, md5(t) AS digest FROM e""")
+def escaped_pages(spark, sf_dir):
+    """Pages with control and bidirectional characters made visible: length and digest of the text."""
+    pages = read(spark, sf_dir, "pages").select("page_id", tx.escape(F.col("html")).alias("t"))
+    return pages.select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name AS a, CASE WHEN c_custkey % 7 = 0 THEN translate(c_name, '0123456789', '０１２３４５６７８９') WHEN c_custkey % 11 = 0 THEN c_name || '*' ELSE c_name END AS b FROM customer)
+SELECT c_custkey, a AS old_text, b AS new_text, CASE WHEN translate(b, '０１２３４５６７８９', '0123456789') = a THEN 'CharacterWidth' END AS tag FROM c WHERE a <> b""")
+def change_tags(spark, sf_dir):
+    """Changed names of customers, tagged where only the width of characters differs."""
+    c = F.col("c_name")
+    named = read(spark, sf_dir, "customer").select("c_custkey", c.alias("old_text"), F.when(F.col("c_custkey") % 7 == 0, F.translate(c, "0123456789", "０１２３４５６７８９")).when(F.col("c_custkey") % 11 == 0, F.concat(c, F.lit("*"))).otherwise(c).alias("new_text"))
+    return named.where("old_text <> new_text").withColumn("tag", F.when(tx.fold_width(F.col("old_text")) == tx.fold_width(F.col("new_text")), "CharacterWidth"))
+
+
+_SPANS = BASE + """, s AS (SELECT pair_id, block, raw, length(raw) AS n, coalesce(sum(length(raw) + 1) OVER (PARTITION BY pair_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM old_raw),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, raw ORDER BY block) AS k FROM s), m AS (SELECT pair_id, raw, row_number() OVER (PARTITION BY pair_id, raw ORDER BY block) AS k FROM new_raw),
+rep AS (SELECT pair_id, block, n FROM o ANTI JOIN m USING (pair_id, raw, k)), want AS (SELECT s.pair_id, block, CASE WHEN mutation = 'replace' THEN least(n, 1) ELSE n END AS n FROM s JOIN rev ON doc_id = s.pair_id WHERE block = 0 AND revised <> text AND mutation IN ('replace', 'delete')),
+doc AS (SELECT pair_id, sum(n) AS total FROM s GROUP BY ALL), a AS (SELECT pair_id, sum(n) AS a FROM rep GROUP BY ALL), b AS (SELECT pair_id, sum(n) AS b FROM want GROUP BY ALL), tp AS (SELECT pair_id, sum(least(rep.n, want.n)) AS tp FROM rep JOIN want USING (pair_id, block) GROUP BY ALL),
+tm AS (SELECT mutation, CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(coalesce(a, 0) - coalesce(tp, 0)) AS BIGINT) AS fp, CAST(sum(coalesce(b, 0) - coalesce(tp, 0)) AS BIGINT) AS fn, CAST(sum(total - coalesce(b, 0)) AS BIGINT) AS unchanged
+    FROM doc JOIN rev ON doc_id = doc.pair_id LEFT JOIN a ON a.pair_id = doc.pair_id LEFT JOIN b ON b.pair_id = doc.pair_id LEFT JOIN tp ON tp.pair_id = doc.pair_id WHERE mutation IN ('replace', 'delete', 'none', 'wrap') GROUP BY mutation)"""
+
+
+@query(_SPANS + """ SELECT mutation, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) ELSE 1 END AS recall, unchanged, CASE WHEN unchanged > 0 THEN round(10000 * fp / unchanged, 9) ELSE 0 END AS fp_per_10k FROM tm""")
+def token_metrics(spark, sf_dir):
+    """Changed tokens of the old revision by mutation: reported are whole blocks without an equal counterpart, expected what was replaced or deleted."""
+    old, new = revisions(spark, sf_dir)
+    docs = mutate(read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("mutation").isin("replace", "delete", "none", "wrap")).select(F.col("doc_id").alias("pair_id"), "mutation", (F.col("revised") != F.col("text")).alias("changed"))
+    start = F.coalesce(F.sum(F.length("raw") + 1).over(Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = old.withColumn("start", start).withColumn("end", F.col("start") + F.length("raw"))
+    again = F.row_number().over(Window.partitionBy("pair_id", "raw").orderBy("block"))
+    reported = spans.withColumn("_k", again).join(new.select("pair_id", "raw", again.alias("_k")), ["pair_id", "raw", "_k"], "left_anti").select("pair_id", "start", "end")
+    wanted = spans.where("block = 0").join(docs.where("changed and mutation in ('replace', 'delete')"), "pair_id").select("pair_id", "start", F.when(F.col("mutation") == "replace", F.least("end", F.col("start") + 1)).otherwise(F.col("end")).alias("end"))
+    totals = docs.join(old.groupBy("pair_id").agg(F.sum(F.length("raw")).alias("total")), "pair_id").select("pair_id", "mutation", "total")
+    found = scoring.token_metrics(reported, wanted, totals, ["pair_id"], ["mutation"])
+    return found.select("mutation", "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "unchanged", F.round("fp_per_10k", 9).alias("fp_per_10k"))
+
+
+#: Detected documents by mutation in SQL: table q.
+_QUALITY = _CHANGES + """, q AS (SELECT mutation, count(*) AS documents, count(*) FILTER (x) AS expected, count(*) FILTER (x AND outcome = 'Detected') AS detected, count(*) FILTER (NOT x AND outcome = 'Detected') AS false_alarms,
+    count(*) FILTER (x AND outcome = 'Detected' AND CASE WHEN mutation = 'delete' THEN deleted > 0 AND replaced = 0 WHEN mutation = 'insert' THEN inserted > 0 AND replaced = 0 WHEN mutation IN ('replace', 'number') THEN replaced > 0 AND inserted + deleted = 0 ELSE false END) AS right_kind
+    FROM (SELECT mutation, mutation NOT IN ('none', 'wrap') AND revised <> text AS x, changes.* FROM changes JOIN rev ON doc_id = pair_id) GROUP BY mutation)"""
+
+
+def _quality(spark, sf_dir):
+    found = _changes(spark, sf_dir).join(expected_manifest(spark, sf_dir), "pair_id")
+    kind = F.when(F.col("mutation") == "delete", (F.col("deleted") > 0) & (F.col("replaced") == 0)).when(F.col("mutation") == "insert", (F.col("inserted") > 0) & (F.col("replaced") == 0)).when(F.col("mutation").isin("replace", "number"), (F.col("replaced") > 0) & (F.col("inserted") + F.col("deleted") == 0)).otherwise(False)
+    return scoring.quality(found.select("mutation", (F.col("expected") == 1).alias("expected"), (F.col("outcome") == "Detected").alias("detected"), kind.alias("right_kind")), ["mutation"])
+
+
+@query(_QUALITY + " SELECT mutation, documents, expected, detected, false_alarms, right_kind, CASE WHEN expected > 0 THEN round(detected / expected, 9) END AS recall, CASE WHEN detected > 0 THEN round(right_kind / detected, 9) END AS kind_accuracy FROM q")
+def quality(spark, sf_dir):
+    """Recall of changed documents and accuracy of the kind of change, by mutation."""
+    found = _quality(spark, sf_dir)
+    return found.withColumn("recall", F.round("recall", 9)).withColumn("kind_accuracy", F.round("kind_accuracy", 9))
+
+
+@query(_QUALITY + """ SELECT count(*) FILTER (expected > 0) AS annotated, round(avg(detected / expected) FILTER (expected > 0), 9) AS macro_recall, round(sum(detected) / sum(expected), 9) AS micro_recall,
+    round(avg(right_kind / detected) FILTER (detected > 0), 9) AS macro_kind_accuracy, round(sum(right_kind) / sum(detected), 9) AS micro_kind_accuracy FROM q""")
+def quality_means(spark, sf_dir):
+    """Means over mutations of their ratios beside ratios of the sums; mutations that expect nothing take no part."""
+    found = _quality(spark, sf_dir)
+    ratio = {"recall": ("detected", "expected"), "kind_accuracy": ("right_kind", "detected")}
+    means = [x for name, (part, whole) in ratio.items() for x in (F.round(F.avg(name), 9).alias(f"macro_{name}"), F.round(F.sum(part) / F.sum(whole), 9).alias(f"micro_{name}"))]
+    return found.agg(F.count_if(F.col("expected") > 0).alias("annotated"), *means)
+
+
+@query("SELECT doc_id AS pair_id, left(text, 4096) AS kept, CAST(greatest(length(text) - 4096, 0) AS BIGINT) AS omitted, CASE WHEN length(text) > 4096 THEN 'documents/' || doc_id || '#4096-' || length(text) END AS expand FROM documents")
+def retained_texts(spark, sf_dir):
+    """What a review case shows of a text, how much it leaves out, and where the rest is; the limit is the review's."""
+    return scoring.retained(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), "text"), "text", 4096, F.concat(F.lit("documents/"), F.col("pair_id")))

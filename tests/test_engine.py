@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redraft.functions import text as tx
 from redraft.functions.ngrams import gram_total, ngrams
-from redraft.operators import anchors, candidates, diff, graph, keyed, ordered, scoring
+from redraft.operators import anchors, candidates, diff, graph, keyed, layout, ordered, scoring, sourcemap
 from redraft.options import Options
 from redraft.plans import catalog
 
@@ -239,3 +239,51 @@ def test_page_anchors_merge_on_a_diagonal(spark):
     old = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y")], "pair_id long, text string")
     new = spark.createDataFrame([(1, "z a b c d e q f g"), (2, None)], "pair_id long, text string")
     assert [(r.pair_id, r.old_from, r.new_from, r.length) for r in anchors.page_anchors(old, new, 3).collect()] == [(1, 0, 1, 5)]
+
+
+def test_source_maps_equal_a_walk_over_characters(spark):
+    texts = ["a ﬁ  b\t c", "ﬃ", "  ", "plain text here", "", None, "x  ", "a\u3000b ﬀﬂ  ﬅ\U0001f600  z", " ﬁ ﬁ "]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "pair_id long, block int, raw string")
+    ranges, want = [], {}
+    for i, t in enumerate(texts):
+        if t is None:
+            continue
+        sources = []
+        for k, c in enumerate(t):
+            blank = c in " \t\u3000"
+            if blank and sources and k and t[k - 1] in " \t\u3000":
+                sources[-1] = (sources[-1][0], k + 1)
+            else:
+                sources += [(k, k + 1)] * (1 if blank else len(tx.LIGATURES.get(c, c)))
+        for s in range(len(sources)):
+            for e in range(s + 1, len(sources) + 1):
+                ranges.append((1, i, s, e))
+                exact = (s == 0 or sources[s - 1] != sources[s]) and (e == len(sources) or sources[e - 1] != sources[e])
+                want[i, s, e] = (sources[s][0], sources[e - 1][1], "Exact" if exact else "WithinSource")
+    found = sourcemap.project(spark.createDataFrame(ranges, "pair_id long, block int, start long, end long"), sourcemap.events(rows)).collect()
+    assert {(r.block, r.start, r.end): (r.raw_start, r.raw_end, r.precision) for r in found} == want
+
+
+def test_lines_come_from_places_not_from_order(spark):
+    rows = [(1, 0, k, c, x, y, 6.0, 10.0) for k, (c, x, y) in enumerate([("c", 72.0, 700.0), ("b", 78.0, 712.5), ("a", 72.0, 712.0), ("d", 90.0, 699.0)])]
+    glyphs = spark.createDataFrame(rows, "pair_id long, page int, id long, char string, x double, y double, width double, size double")
+    assert sorted((r.line, r.text) for r in layout.lines(layout.baselines(glyphs)).collect()) == [(0, "ab"), (1, "c d")]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)).map(sorted), max_size=5), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)).map(sorted), max_size=5))
+def test_token_metrics_equal_sets_of_tokens(spark, a, b):
+    sides = [spark.createDataFrame([(1, *x) for x in side], "pair_id long, start long, end long") for side in (a, b)]
+    x, y = ({t for s, e in side for t in range(s, e)} for side in (a, b))
+    totals = spark.createDataFrame([(1, "m", 20)], "pair_id long, kind string, total long")
+    r = scoring.token_metrics(*sides, totals, ["pair_id"], ["kind"]).first()
+    assert (r.tp, r.fp, r.fn, r.unchanged) == (len(x & y), len(x - y), len(y - x), 20 - len(y))
+    assert r.precision == (len(x & y) / len(x) if x else 1.0) and r.recall == (len(x & y) / len(y) if y else 1.0)
+
+
+def test_quality_and_retained_texts(spark):
+    rows = spark.createDataFrame([("a", True, True, False), ("a", True, False, True), ("b", False, True, None), ("c", True, True, True)], "m string, expected boolean, detected boolean, right_kind boolean")
+    found = {r.m: (r.recall, r.kind_accuracy, r.false_alarms) for r in scoring.quality(rows, ["m"]).collect()}
+    assert found == {"a": (0.5, 0.0, 0), "b": (None, None, 1), "c": (1.0, 1.0, 0)}
+    texts = spark.createDataFrame([(1, "ab\U0001f600d"), (2, ""), (3, None)], "k long, text string")
+    assert [tuple(r) for r in scoring.retained(texts, "text", 3, F.lit("t")).orderBy("k").collect()] == [(1, "ab\U0001f600", 1, "t#3-4"), (2, "", 0, None), (3, None, 0, None)]
