@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from redraft.functions import text as tx
 
 _B, _L = tx.BLANKS[1:-2], "".join(tx.LIGATURES)
-#: A ligature, a run of blanks other than one plain blank, or a run that stays as it is.
-_PIECES = rf"[{_L}]|(?:[^{_B}{_L}]|(?<![{_B}]) (?![{_B}]))+|[{_B}]+"
+#: A ligature, a run of blanks, or a run of others: plain classes, which need no stack however long a line is.
+_PIECES = rf"[{_L}]|[{_B}]+|[^{_B}{_L}]+"
 
 
 def events(blocks: DataFrame) -> DataFrame:

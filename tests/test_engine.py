@@ -264,6 +264,12 @@ def test_source_maps_equal_a_walk_over_characters(spark):
     assert {(r.block, r.start, r.end): (r.raw_start, r.raw_end, r.precision) for r in found} == want
 
 
+def test_source_maps_of_very_long_lines(spark):
+    rows = spark.createDataFrame([(1, 0, "word " * 100_000 + "ﬁ"), (1, 1, "x" * 500_000 + "  ")], "pair_id long, block int, raw string")
+    found = sorted((r.block, r.raw_start, r.raw_end, r.start, r.end, r.kind) for r in sourcemap.events(rows).collect())
+    assert found == [(0, 500_000, 500_001, 500_000, 500_002, "ligature"), (1, 500_000, 500_002, 500_000, 500_001, "blank")]
+
+
 def test_lines_come_from_places_not_from_order(spark):
     rows = [(1, 0, k, c, x, y, 6.0, 10.0) for k, (c, x, y) in enumerate([("c", 72.0, 700.0), ("b", 78.0, 712.5), ("a", 72.0, 712.0), ("d", 90.0, 699.0)])]
     glyphs = spark.createDataFrame(rows, "pair_id long, page int, id long, char string, x double, y double, width double, size double")
