@@ -90,9 +90,9 @@ def span_overlap(actual: DataFrame, expected: DataFrame, keys: list[str]) -> Dat
 
 
 def token_metrics(actual: DataFrame, expected: DataFrame, totals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """(by..., tp, fp, fn, precision, recall, unchanged, fp_per_10k): changed tokens reported against those expected.
+    """(by..., tp, fp, fn, precision, recall, f1, unchanged, fp_per_10k): changed tokens reported against those expected.
 
-    Inputs are spans [start, end) by keys, and (keys..., by..., total) tokens. Counts are summed before any ratio; precision and recall over nothing are 1, the rate over nothing 0.
+    Inputs are spans [start, end) by keys, and (keys..., by..., total) tokens. Counts are summed before any ratio; precision and recall over nothing are 1, the rate over nothing 0; f1 is their harmonic mean, 0 where both are.
     """
     met = totals.join(_sweep(actual, expected, keys), keys, "left").na.fill(0, ["a", "b", "both"])
     out = met.groupBy(*by).agg(F.sum("both").alias("tp"), F.sum(F.col("a") - F.col("both")).alias("fp"), F.sum(F.col("b") - F.col("both")).alias("fn"), F.sum(F.col("total") - F.col("b")).alias("unchanged"))
@@ -101,7 +101,8 @@ def token_metrics(actual: DataFrame, expected: DataFrame, totals: DataFrame, key
         return F.when(whole > 0, F.col("tp") / whole).otherwise(1.0)
 
     rate = F.when(F.col("unchanged") > 0, 10000 * F.col("fp") / F.col("unchanged")).otherwise(0.0)
-    return out.select(*by, "tp", "fp", "fn", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp") + F.col("fn")).alias("recall"), "unchanged", rate.alias("fp_per_10k"))
+    p, r = share(F.col("tp") + F.col("fp")), share(F.col("tp") + F.col("fn"))
+    return out.select(*by, "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "unchanged", rate.alias("fp_per_10k"))
 
 
 def preflight(work: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:

@@ -631,7 +631,7 @@ tm AS (SELECT mutation, CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(coa
     FROM doc JOIN rev ON doc_id = doc.pair_id LEFT JOIN a ON a.pair_id = doc.pair_id LEFT JOIN b ON b.pair_id = doc.pair_id LEFT JOIN tp ON tp.pair_id = doc.pair_id WHERE mutation IN ('replace', 'delete', 'none', 'wrap') GROUP BY mutation)"""
 
 
-@query(_SPANS + """ SELECT mutation, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) ELSE 1 END AS recall, unchanged, CASE WHEN unchanged > 0 THEN round(10000 * fp / unchanged, 9) ELSE 0 END AS fp_per_10k FROM tm""")
+@query(_SPANS + """, pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS r FROM tm) SELECT mutation, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 9) ELSE 0 END AS f1, unchanged, CASE WHEN unchanged > 0 THEN round(10000 * fp / unchanged, 9) ELSE 0 END AS fp_per_10k FROM pr""")
 def token_metrics(spark, sf_dir):
     """Changed tokens of the old revision by mutation: reported are whole blocks without an equal counterpart, expected what was replaced or deleted."""
     old, new = revisions(spark, sf_dir)
@@ -643,7 +643,7 @@ def token_metrics(spark, sf_dir):
     wanted = spans.where("block = 0").join(docs.where("changed and mutation in ('replace', 'delete')"), "pair_id").select("pair_id", "start", F.when(F.col("mutation") == "replace", F.least("end", F.col("start") + 1)).otherwise(F.col("end")).alias("end"))
     totals = docs.join(old.groupBy("pair_id").agg(F.sum(F.length("raw")).alias("total")), "pair_id").select("pair_id", "mutation", "total")
     found = scoring.token_metrics(reported, wanted, totals, ["pair_id"], ["mutation"])
-    return found.select("mutation", "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "unchanged", F.round("fp_per_10k", 9).alias("fp_per_10k"))
+    return found.select("mutation", "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"), "unchanged", F.round("fp_per_10k", 9).alias("fp_per_10k"))
 
 
 #: Detected documents by mutation in SQL: table q.

@@ -284,6 +284,7 @@ def test_token_metrics_equal_sets_of_tokens(spark, a, b):
     totals = spark.createDataFrame([(1, "m", 20)], "pair_id long, kind string, total long")
     r = scoring.token_metrics(*sides, totals, ["pair_id"], ["kind"]).first()
     assert (r.tp, r.fp, r.fn, r.unchanged) == (len(x & y), len(x - y), len(y - x), 20 - len(y))
+    assert abs(r.f1 - (2 * r.precision * r.recall / (r.precision + r.recall) if r.precision + r.recall else 0.0)) < 1e-12
     assert r.precision == (len(x & y) / len(x) if x else 1.0) and r.recall == (len(x & y) / len(y) if y else 1.0)
 
 
