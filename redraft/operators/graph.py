@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redraft.operators.pairing import together, whole_keys
+
 #: Tag names and the node kinds they stand for (fixed values); other names are "other".
 KINDS = {
     "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "ul": "list", "ol": "list", "table": "table", "tr": "row", "td": "cell", "th": "cell",
@@ -148,22 +152,36 @@ def solve(proposals: DataFrame, most: int | None = None) -> DataFrame:
     more proposals comes back unsolved, never as matched: one row of its least old and new, weight null, mandatory false.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        key, out = int(rows.pair_id.iloc[0]), []
-        olds, at_old = np.unique(rows.old.to_numpy(), return_inverse=True)
-        news, at_new = np.unique(rows.new.to_numpy(), return_inverse=True)
-        weight = rows.weight.to_numpy().astype(np.int64)
-        for part in _parts(at_old, at_new):
-            mine, i = np.unique(at_old[part], return_inverse=True)
-            other, j = np.unique(at_new[part], return_inverse=True)
-            if most is not None and len(part) > most:
-                out.append((key, int(olds[mine[0]]), int(news[other[0]]), None, False))
-                continue
-            w = np.zeros((len(mine), len(other)), np.int64)
-            np.maximum.at(w, (i, j), weight[part])
-            pairs, must = solution(w)
-            out += [(key, int(olds[mine[a]]), int(news[other[b]]), int(w[a, b]), m) for (a, b), m in zip(pairs, must, strict=True)]
-        found = pd.DataFrame(out, columns=["pair_id", "old", "new", "weight", "mandatory"])
-        return found.astype({"weight": "Int64"})
-
-    return proposals.groupBy("pair_id").applyInPandas(one, "pair_id long, old long, new long, weight long, mandatory boolean")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches):
+            pair, old, new, weight = (rows.column(c).to_numpy().astype(np.int64) for c in ("pair_id", "old", "new", "weight"))
+            ends = []
+            for side in (old, new):  # (pair, side) by numbers
+                order = np.lexsort((side, pair))
+                fresh = np.concatenate([[True], (np.diff(pair[order]) != 0) | (np.diff(side[order]) != 0)])[: len(order)]
+                number = np.empty(len(order), np.int64)
+                number[order] = np.cumsum(fresh) - 1
+                ends.append(number)
+            alone = (np.bincount(ends[0])[ends[0]] == 1) & (np.bincount(ends[1])[ends[1]] == 1) & (most is None or most > 0)
+            out = []
+            rest = np.flatnonzero(~alone)
+            for part in _parts(*(np.unique(e[rest], return_inverse=True)[1] for e in ends)) if len(rest) else ():
+                own = rest[part]
+                mine, i = np.unique(old[own], return_inverse=True)
+                other, j = np.unique(new[own], return_inverse=True)
+                key = int(pair[own[0]])
+                if most is not None and len(own) > most:
+                    out.append((key, int(mine[0]), int(other[0]), None, False))
+                    continue
+                w = np.zeros((len(mine), len(other)), np.int64)
+                np.maximum.at(w, (i, j), weight[own])
+                pairs, must = solution(w)
+                out += [(key, int(mine[a]), int(other[b]), int(w[a, b]), m) for (a, b), m in zip(pairs, must, strict=True)]
+            k = alone & (weight > 0)  # a proposal without a rival is in every optimum
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair[k], old[k], new[k], weight[k], np.ones(int(k.sum()), bool))], names=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=names)
+
+    names = ["pair_id", "old", "new", "weight", "mandatory"]
+    sized = proposals.select(F.col("pair_id").cast("long").alias("pair_id"), F.lit(32).cast("long").alias("size"), "old", "new", "weight")
+    return together(sized).mapInArrow(kernel, "pair_id long, old long, new long, weight long, mandatory boolean")
