@@ -172,7 +172,7 @@ def links(lines: DataFrame, scratch: Scratch, size: int, bands: int, rows: int,
     scratch.drop("near-1")
     of = scratch.keep(members.join(joined, members.k == joined.node, "left").select("key", "k", "n", F.array_contains("leads", F.col("k")).alias("head"), F.coalesce("component", "k").alias("c")), "labelled", release=True)
     scratch.drop("members")
-    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    several = of.where(~F.col("head")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
     # leaders have been compared with everyone; who is joined already needs no comparison
     rest = scratch.keep(of.where(~F.col("head")).join(several, "key"), "rest", release=True)
